@@ -109,14 +109,11 @@ def word_bounds(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarr
 def line_bounds(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Start and end of each line (split at \\n) and the text of each line; an empty text has one empty line."""
     feeds = np.flatnonzero(data == 10)
-    text = np.searchsorted(off, feeds, "right") - 1
-    s = np.concatenate([off[:-1], feeds + 1])
-    e = np.concatenate([feeds, off[1:]])
-    t = np.concatenate([np.arange(len(off) - 1), text])
-    order = np.lexsort((s, t))
-    s, t = s[order], t[order]
-    e = np.sort(e, kind="stable") if not len(feeds) else e[np.lexsort((e, np.concatenate([text, np.arange(len(off) - 1)])))]
-    return s, e, t
+    count = np.diff(np.searchsorted(feeds, off)) + 1
+    # starts and ends both rise from line to line, so sorting each apart keeps them paired
+    s = np.sort(np.concatenate([off[:-1], feeds + 1]))
+    e = np.sort(np.concatenate([feeds, off[1:]]))
+    return s, e, np.repeat(np.arange(len(off) - 1), count)
 
 
 def shingles(words: np.ndarray, cut: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:

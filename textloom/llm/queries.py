@@ -5,13 +5,34 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import neardup, repeats
+from . import langid, neardup, packing, quality_rules, quality_trees, repeats, sentencepieces
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def _tokenizer(name: str) -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+def op1_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = _tokenizer("piece_bpe_32k.model")
+    encoded = sentencepieces.encode(_table(spark, sf_dir, "documents"), path)
+    digests = encoded.select("doc_id", "ids", (F.octet_length("ids") / 4).cast("long").alias("n_ids"), F.crc32("ids").alias("ids_crc32"))
+    decoded = sentencepieces.decode(digests, path, keep=["doc_id", "n_ids", "ids_crc32"])
+    return decoded.select("doc_id", "n_ids", "ids_crc32", F.length("decoded").cast("long").alias("n_chars"), F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
+def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    rules = quality_rules.fit(docs, _table(spark, sf_dir, "labels"))
+    out = quality_rules.apply_rules(docs, rules)
+    return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+
+
 def op3_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.near_duplicates(_table(spark, sf_dir, "documents"))
 
@@ -26,8 +47,34 @@ def op4_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = packing.pack(_table(spark, sf_dir, "documents"), _tokenizer("byte_bpe_50k.json"))
+    return out.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
+
+
+def _fold(folds: int) -> F.Column:
+    return F.crc32(F.col("doc_id").cast("string")) % folds
+
+
+def op8_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    scored = quality_trees.score(docs, quality_trees.fit(docs, _table(spark, sf_dir, "labels")))
+    return scored.select("doc_id", (_fold(quality_trees.FOLDS) == 0).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
+
+
+def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    out = langid.predict(docs, langid.learn(docs))
+    return out.select("doc_id", (_fold(langid.FOLDS) == langid.HELD_OUT).alias("held_out"), "lang_pred", "score")
+
+
 QUERIES = {
+    "op1_sentencepiece": op1_sentencepiece,
+    "op2_quality_rules": op2_quality_rules,
     "op3_near_duplicates": op3_near_duplicates,
     "op4_suffix_dedup": op4_suffix_dedup,
+    "op5_packing": op5_packing,
+    "op8_quality_classifier": op8_quality_classifier,
+    "op10_language_id": op10_language_id,
 }
 ORACLES: dict[str, str] = {}
