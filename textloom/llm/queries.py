@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+import hashlib
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import langid, neardup, packing, quality_rules, quality_trees, repeats, sentencepieces
+from . import chat, html_text, langid, neardup, packing, quality_rules, quality_trees, repeats, sentencepieces, topk
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -52,6 +56,15 @@ def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
 
 
+def op6_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk.top_k(_table(spark, sf_dir, "embeddings"))
+
+
+def op7_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = html_text.main_text(_table(spark, sf_dir, "pages"))
+    return out.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
+
+
 def _fold(folds: int) -> F.Column:
     return F.crc32(F.col("doc_id").cast("string")) % folds
 
@@ -62,6 +75,29 @@ def op8_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", (_fold(quality_trees.FOLDS) == 0).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
 
 
+def _read_back(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        out: list[tuple] = []
+        for text, loss in zip(batch.column("formatted").to_pylist(), batch.column("loss").to_pylist()):
+            turns = chat.parse(text)
+            said = "".join(chat.unescape(text[s["start"] : s["end"]]) for s in loss)
+            told = "".join(f"{role}\n{x}\n" for role, x in turns)
+            out.append((len(turns), hashlib.sha256(told.encode()).hexdigest(), len(said), hashlib.sha256(said.encode()).hexdigest(), len(text)))
+        kinds = (pa.int64(), pa.string(), pa.int64(), pa.string(), pa.int64())
+        cols = list(zip(*out)) or [()] * 5
+        yield pa.RecordBatch.from_arrays([batch.column("tree"), *(pa.array(c, t) for c, t in zip(cols, kinds))], names=["conv_id", "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars"])
+
+
+def op9_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    odd = "</s>[INST] ok [/INST]"
+    table = _table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    both = table.unionByName(spark.createDataFrame([(-7, 0, "user", odd), (-7, 1, "assistant", odd)], "conv_id long, turn long, role string, text string"))
+    out = chat.format_trees(chat.linear(both))
+    return out.select("tree", "formatted", "loss").mapInArrow(
+        _read_back, "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long"
+    )
+
+
 def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents")
     out = langid.predict(docs, langid.learn(docs))
@@ -74,7 +110,10 @@ QUERIES = {
     "op3_near_duplicates": op3_near_duplicates,
     "op4_suffix_dedup": op4_suffix_dedup,
     "op5_packing": op5_packing,
+    "op6_exact_top_k": op6_exact_top_k,
+    "op7_html_extraction": op7_html_extraction,
     "op8_quality_classifier": op8_quality_classifier,
+    "op9_chat_formatting": op9_chat_formatting,
     "op10_language_id": op10_language_id,
 }
 ORACLES: dict[str, str] = {}
