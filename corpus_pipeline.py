@@ -1,4 +1,64 @@
-STAGES = []
+"""Corpus pipeline: each stage works on all that the stage before it kept, written as Parquet and read again.
+
+quality classifier -> quality rules -> MinHash near-dedup -> suffix-array dedup -> packing
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from textloom.llm import neardup, packing, quality_rules, quality_trees, repeats
+from textloom.llm.queries import tokenizer
+from textloom.llm.scratch import Scratch
+
+LEAST_SCORE = 0.3
+
+
+def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents of a score under LEAST_SCORE go."""
+    trees = quality_trees.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    return quality_trees.score(docs, trees, keep=docs.columns).where(F.col("score") >= LEAST_SCORE).drop("score")
+
+
+def rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that fail the base checks or a learned rule go."""
+    learned = quality_rules.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    return quality_rules.apply_rules(docs, learned, keep=docs.columns).where("kept").select(docs.columns)
+
+
+def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The document of the smallest id stays of each group; a repeated row stays once."""
+    found = neardup.near_duplicates(docs).where("kept").select(F.col("doc_id").alias("_stays"))
+    return docs.join(found, docs["doc_id"].eqNullSafe(F.col("_stays")), "left_semi").dropDuplicates(["doc_id"])
+
+
+def suffix_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Repeated spans are cut, to whole characters; a document of which nothing is left stays with an empty text."""
+    cut = repeats.cut_repeats(docs, keep_characters=True, carry=[c for c in docs.columns if c not in ("doc_id", "text", "n_chars")])
+    text = F.decode("kept", "UTF-8")
+    return cut.withColumn("text", text).withColumn("n_chars", F.length("text").cast("long")).select(docs.columns)
+
+
+def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return packing.pack(docs, tokenizer("byte_bpe_50k.json"))
+
+
+STAGES = [
+    ("quality classifier", quality_classifier),
+    ("quality rules", rules),
+    ("MinHash near-dedup", near_dedup),
+    ("suffix-array dedup", suffix_dedup),
+    ("packing", packed),
+]
 ORACLE_SQL = None
-def run(spark, sf_dir):
-    raise NotImplementedError
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scratch = Scratch(spark, "pipeline")
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    for i, (_, stage) in enumerate(STAGES):
+        docs = scratch.write(stage(spark, docs, sf_dir), str(i))
+        if i:
+            scratch.drop(str(i - 1))
+    return docs

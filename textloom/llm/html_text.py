@@ -15,15 +15,13 @@ unclosed element ends with the page. Other columns don't matter; rows may repeat
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
 from html.parser import HTMLParser
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
-from .scratch import small_batches
+from .stats import map_text
 
 SIGMA, SHARE, FEED = 1.0, 0.6, 1 << 20
 SKIPPED = frozenset("nav aside form script style noscript template iframe object svg canvas math select textarea button dialog menu head audio video map datalist".split())
@@ -161,15 +159,8 @@ def extract(html: str) -> str:
 
 def main_text(pages: DataFrame, html: str = "html", keep: list[str] | None = None) -> DataFrame:
     """The kept columns and the main text of each page."""
-    keep = keep or ["page_id", "url"]
-    small_batches(pages.sparkSession)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            names = batch.schema.names[:-1]
-            got = [extract(x or "") for x in batch.column(batch.num_columns - 1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in names), pa.array(got, pa.string())], names=[*names, "text"])
-
-    kinds = dict(pages.dtypes)
-    schema = ", ".join([*(f"`{c}` {kinds[c]}" for c in keep), "text string"])
-    return pages.select(*(F.col(f"`{c}`") for c in keep), F.col(f"`{html}`").alias("_tl_html")).mapInArrow(run, schema)
+
+    def make(column: pa.Array) -> list[pa.Array]:
+        return [pa.array([extract(x or "") for x in column.to_pylist()], pa.string())]
+
+    return map_text(pages, html, keep or ["page_id", "url"], make, "text string")

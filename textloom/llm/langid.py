@@ -12,15 +12,13 @@ second, 1 if only one was learned. With nothing learned every text is ``und``.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .kernels import Rolling, buffers, ranges
-from .scratch import small_batches
+from .stats import map_text
 
 #: The sample of a language: so many documents (chosen by a hash of the id), so many characters of each.
 SAMPLE_DOCS, SAMPLE_CHARS, FOLDS, HELD_OUT = 48, 1200, 3, 1
@@ -156,19 +154,15 @@ class Parser:
 
 def predict(docs: DataFrame, automata: dict[str, SuffixAutomaton], text: str = "text", keep: list[str] | None = None) -> DataFrame:
     """The kept columns, lang_pred and score."""
-    keep = keep or ["doc_id"]
-    small_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(automata)  # bounded by the sample's parameters
+    parsers: list[Parser] = []
+
+    def make(column: pa.Array) -> list[pa.Array]:
+        if not parsers:
+            parsers.append(Parser(shared.value))
+        data, off = buffers(column)
+        parts = [parsers[0].counts(data[off[i] : off[j]], off[i : j + 1] - off[i]) for i, j in ranges(off)]
+        lang, score = parsers[0].best(np.concatenate(parts)) if parts else ([], np.zeros(0))
+        return [pa.array(lang, pa.string()), pa.array(score, pa.float64())]
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        parser = Parser(shared.value)
-        for batch in batches:
-            data, off = buffers(batch.column(batch.num_columns - 1))
-            parts = [parser.counts(data[off[i] : off[j]], off[i : j + 1] - off[i]) for i, j in ranges(off)]
-            lang, score = parser.best(np.concatenate(parts)) if parts else ([], np.zeros(0))
-            names = batch.schema.names[:-1]
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in names), pa.array(lang, pa.string()), pa.array(score, pa.float64())], names=[*names, "lang_pred", "score"])
-
-    kinds = dict(docs.dtypes)
-    schema = ", ".join([*(f"`{c}` {kinds[c]}" for c in keep), "lang_pred string, score double"])
-    return docs.select(*(F.col(f"`{c}`") for c in keep), F.col(f"`{text}`").alias("_tl_text")).mapInArrow(run, schema)
+    return map_text(docs, text, keep or ["doc_id"], make, "lang_pred string, score double")

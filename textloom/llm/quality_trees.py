@@ -9,16 +9,13 @@ Null and empty texts have the statistics of an empty text and a score like any o
 
 from __future__ import annotations
 
-from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
 from . import stats
-from .scratch import small_batches
 
 SAMPLE_ROWS, FOLDS, BINS, TREES, DEPTH, RATE, L2, LEAST_ROWS = 20_000, 5, 64, 60, 4, 0.15, 1.0, 10
 
@@ -92,17 +89,8 @@ def fit(docs: DataFrame, labels: DataFrame, text: str = "text", ids: str = "doc_
 
 def score(docs: DataFrame, trees: Trees, text: str = "text", keep: list[str] | None = None) -> DataFrame:
     """The kept columns and a score from 0 to 1 for each whole text."""
-    keep = keep or ["doc_id"]
-    small_batches(docs.sparkSession)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            counts = stats.count_batch(batch.column(batch.num_columns - 1))
-            got = trees.score(stats.features(counts))
-            names = batch.schema.names[:-1]
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in names), pa.array(got, pa.float64())], names=[*names, "score"])
-
-    kinds = dict(docs.dtypes)
-    schema = ", ".join([*(f"`{c}` {kinds[c]}" for c in keep), "score double"])
-    source = docs.select(*(F.col(f"`{c}`") for c in keep), F.col(f"`{text}`").alias("_tl_text"))
-    return source.mapInArrow(run, schema)
+
+    def make(column: pa.Array) -> list[pa.Array]:
+        return [pa.array(trees.score(stats.features(stats.count_batch(column))), pa.float64())]
+
+    return stats.map_text(docs, text, keep or ["doc_id"], make, "score double")

@@ -16,14 +16,14 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def _tokenizer(name: str) -> str:
+def tokenizer(name: str) -> str:
     import public_tokenizers
 
     return public_tokenizers.path(name)
 
 
 def op1_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
-    path = _tokenizer("piece_bpe_32k.model")
+    path = tokenizer("piece_bpe_32k.model")
     encoded = sentencepieces.encode(_table(spark, sf_dir, "documents"), path)
     digests = encoded.select("doc_id", "ids", (F.octet_length("ids") / 4).cast("long").alias("n_ids"), F.crc32("ids").alias("ids_crc32"))
     decoded = sentencepieces.decode(digests, path, keep=["doc_id", "n_ids", "ids_crc32"])
@@ -52,7 +52,7 @@ def op4_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = packing.pack(_table(spark, sf_dir, "documents"), _tokenizer("byte_bpe_50k.json"))
+    out = packing.pack(_table(spark, sf_dir, "documents"), tokenizer("byte_bpe_50k.json"))
     return out.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
 
 

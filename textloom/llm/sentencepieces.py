@@ -23,9 +23,8 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
-from .scratch import small_batches
+from .stats import map_text
 
 MARK, MEMO_WORDS = "▁", 400_000
 UNIGRAM, BPE = 1, 2
@@ -204,33 +203,23 @@ class Decoder:
 
 def encode(docs: DataFrame, path: str, text: str = "text", keep: list[str] | None = None) -> DataFrame:
     """The kept columns and the ids of each whole text, as little-endian 32-bit integers."""
-    keep = keep or ["doc_id"]
-    small_batches(docs.sparkSession)
+    encoders: list[Encoder] = []
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = Encoder(path)
-        for batch in batches:
-            names = batch.schema.names[:-1]
-            got = encoder.encode([x or "" for x in batch.column(batch.num_columns - 1).to_pylist()])
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in names), pa.array(got, pa.binary())], names=[*names, "ids"])
+    def make(column: pa.Array) -> list[pa.Array]:
+        if not encoders:
+            encoders.append(Encoder(path))
+        return [pa.array(encoders[0].encode([x or "" for x in column.to_pylist()]), pa.binary())]
 
-    kinds = dict(docs.dtypes)
-    schema = ", ".join([*(f"`{c}` {kinds[c]}" for c in keep), "ids binary"])
-    return docs.select(*(F.col(f"`{c}`") for c in keep), F.col(f"`{text}`").alias("_tl_text")).mapInArrow(run, schema)
+    return map_text(docs, text, keep or ["doc_id"], make, "ids binary")
 
 
 def decode(encoded: DataFrame, path: str, ids: str = "ids", keep: list[str] | None = None) -> DataFrame:
     """The kept columns and the text of each row's ids."""
-    keep = keep or ["doc_id"]
-    small_batches(encoded.sparkSession)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        decoder = Decoder(path)
-        for batch in batches:
-            names = batch.schema.names[:-1]
-            got = [decoder.decode(x or b"") for x in batch.column(batch.num_columns - 1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in names), pa.array(got, pa.string())], names=[*names, "decoded"])
-
-    kinds = dict(encoded.dtypes)
-    schema = ", ".join([*(f"`{c}` {kinds[c]}" for c in keep), "decoded string"])
-    return encoded.select(*(F.col(f"`{c}`") for c in keep), F.col(f"`{ids}`").alias("_tl_ids")).mapInArrow(run, schema)
+    decoders: list[Decoder] = []
+
+    def make(column: pa.Array) -> list[pa.Array]:
+        if not decoders:
+            decoders.append(Decoder(path))
+        return [pa.array([decoders[0].decode(x or b"") for x in column.to_pylist()], pa.string())]
+
+    return map_text(encoded, ids, keep or ["doc_id"], make, "decoded string")

@@ -91,26 +91,40 @@ def count_batch(column: pa.Array) -> dict[str, np.ndarray]:
     return {c: np.concatenate([p[c] for p in parts]) if parts else np.zeros(0, np.int64) for c in COUNTS}
 
 
-def _run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        counts = count_batch(batch.column(batch.num_columns - 1))
-        names = batch.schema.names[:-1]
-        yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in names), *(pa.array(counts[c], pa.int64()) for c in COUNTS)], names=[*names, *COUNTS])
+def map_text(df: DataFrame, text: str, keep: list[str], make, made: str) -> DataFrame:
+    """The kept columns and what ``make`` gives for each batch of texts; ``made`` is the schema of that.
+
+    The text travels once even if it is kept. ``make`` takes an Arrow column and returns Arrow columns.
+    """
+    small_batches(df.sparkSession)
+    kinds = dict(df.dtypes)
+    read = keep if text in keep else [*keep, text]
+    at, kept = read.index(text), range(len(keep))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            columns = [*(batch.column(i) for i in kept), *make(batch.column(at))]
+            yield pa.RecordBatch.from_arrays(columns, names=names)
+
+    names = [*keep, *(x.split()[0] for x in made.split(", "))]
+    schema = ", ".join([*(f"`{c}` {kinds[c]}" for c in keep), made])
+    return df.select(*(F.col(f"`{c}`") for c in read)).mapInArrow(run, schema)
 
 
 def with_counts(df: DataFrame, text: str, keep: list[str]) -> DataFrame:
     """The kept columns and the counts of each whole text (null: empty)."""
-    small_batches(df.sparkSession)
-    kinds = dict(df.dtypes)
-    schema = ", ".join([*(f"`{c}` {kinds[c]}" for c in keep), *(f"{c} long" for c in COUNTS)])
-    return df.select(*(F.col(f"`{c}`") for c in keep), F.col(f"`{text}`")).mapInArrow(_run, schema)
+
+    def make(column: pa.Array) -> list[pa.Array]:
+        counts = count_batch(column)
+        return [pa.array(counts[c], pa.int64()) for c in COUNTS]
+
+    return map_text(df, text, keep, make, ", ".join(f"{c} long" for c in COUNTS))
 
 
 def features(counts: dict[str, np.ndarray]) -> np.ndarray:
     """Ratios that don't depend on what a text is about, one row a text; see FEATURES."""
     c = {k: v.astype(np.float64) for k, v in counts.items()}
-    w, p = np.maximum(c["n_words"], 1), np.maximum(c["n_code_points"], 1)
-    return np.stack([eval_ratio(c, w, p, name) for name in FEATURES], 1)
+    return np.stack([c[top] if below is None else c[top] / np.maximum(c[below], 1) for top, below in FEATURES.values()], 1)
 
 
 FEATURES = {
@@ -128,11 +142,6 @@ FEATURES = {
 }
 
 
-def eval_ratio(c, w, p, name: str) -> np.ndarray:
-    top, below = FEATURES[name]
-    return c[top] if below is None else c[top] / np.maximum(c[below], 1)
-
-
 def feature_columns() -> dict[str, F.Column]:
     """The same ratios as Spark expressions over the count columns."""
     return {
