@@ -276,8 +276,8 @@ def _cut(length: int, keep_characters: bool):
     return run
 
 
-def cut_repeats(docs: DataFrame, text: str = "text", ids: str = "doc_id", length: int = 200, keep_characters: bool = False) -> DataFrame:
-    """Each document's id with n_bytes, the starts and ends of its repeated spans, and the bytes kept.
+def cut_repeats(docs: DataFrame, text: str = "text", ids: str = "doc_id", length: int = 200, keep_characters: bool = False, carry: list[str] | None = None) -> DataFrame:
+    """Each document's id and carried columns with n_bytes, the starts and ends of its repeated spans, and the bytes kept.
 
     With ``keep_characters``, spans shrink to whole characters, so that what is kept is valid UTF-8.
     """
@@ -286,7 +286,9 @@ def cut_repeats(docs: DataFrame, text: str = "text", ids: str = "doc_id", length
     scratch = Scratch(spark, "repeats")
     blocks = 4 * shuffle_partitions(spark)
     whole = F.coalesce(docs[text], F.lit(""))
-    base = docs.select(docs[ids].alias("id"), whole.alias("text"), F.xxhash64(whole, F.octet_length(whole)).alias("key"))
+    carried = {f"_carried_{i}": docs[c] for i, c in enumerate(carry or [])}
+    rows = docs.select(docs[ids].alias("id"), whole.alias("text"), F.xxhash64(whole, F.octet_length(whole)).alias("key"), *(c.alias(k) for k, c in carried.items()))
+    base = rows.select("id", "text", "key")
 
     def shared(mapped: DataFrame) -> DataFrame:
         found = mapped.groupBy("block").applyInArrow(_settle, _FOUND)
@@ -302,7 +304,8 @@ def cut_repeats(docs: DataFrame, text: str = "text", ids: str = "doc_id", length
     scratch.drop("samples", "reps")
     result = scratch.write(classes.where("copies > 1").join(starts, "key", "full").select(F.col("key").alias("k"), "copies", "pieces"), "result")
     free_shuffles(spark)
-    joined = base.join(result, base["key"] == result["k"], "left").select("id", "text", "key", "copies", "pieces")
-    kind = dict(base.dtypes)["id"]
-    out = joined.mapInArrow(_cut(length, keep_characters), f"id {kind}, n_bytes long, starts array<long>, ends array<long>, kept binary")
-    return out.withColumnRenamed("id", ids)
+    joined = rows.join(result, rows["key"] == result["k"], "left").select("id", *carried, "text", "key", "copies", "pieces")
+    kinds = dict(rows.dtypes)
+    schema = ", ".join(f"{c} {kinds[c]}" for c in ("id", *carried))
+    out = joined.mapInArrow(_cut(length, keep_characters), f"{schema}, n_bytes long, starts array<long>, ends array<long>, kept binary")
+    return out.toDF(ids, *(carry or []), "n_bytes", "starts", "ends", "kept")
