@@ -6,23 +6,24 @@ import atexit
 import gc
 import shutil
 import tempfile
+import time
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
 ARROW_ROWS = 2000
 ARROW_BYTES = 8 << 20
+_OWN: list[str] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
     """The cluster's ``spark.checkpoint.dir``; a folder of our own only where it is unset (local tests)."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
-        found = getattr(spark, "_textloom_dir", None)
-        if not found:
-            found = tempfile.mkdtemp(prefix="textloom-")
-            atexit.register(shutil.rmtree, found, ignore_errors=True)
-            spark._textloom_dir = found
+        if not _OWN:
+            _OWN.append(tempfile.mkdtemp(prefix="textloom-"))
+            atexit.register(shutil.rmtree, _OWN[0], ignore_errors=True)
+        found = _OWN[0]
     return found.rstrip("/")
 
 
@@ -38,6 +39,13 @@ class Scratch:
     def __init__(self, spark: SparkSession, what: str):
         self.spark = spark
         self.root = f"{shared_dir(spark)}/textloom-{what}-{uuid.uuid4().hex[:12]}"
+        atexit.register(self._end)  # lazy results may still read the tables until the session ends
+
+    def _end(self) -> None:
+        try:
+            self.drop("")
+        except Exception:  # noqa: BLE001  the session is gone already
+            pass
 
     def write(self, df: DataFrame, name: str) -> DataFrame:
         path = f"{self.root}/{name}"
@@ -53,9 +61,14 @@ class Scratch:
 
 
 def free_shuffles(spark: SparkSession) -> None:
-    """Lets Spark's cleaner delete the shuffle files of plans that nothing refers to any more."""
-    gc.collect()
-    spark._jvm.System.gc()
+    """Lets Spark's cleaner delete the shuffle files of plans that nothing refers to any more.
+
+    The first collection only lets go of the plans; the second finds their shuffles.
+    """
+    for _ in range(2):
+        gc.collect()
+        spark._jvm.System.gc()
+        time.sleep(0.4)
 
 
 def shuffle_partitions(spark: SparkSession) -> int:
