@@ -5,14 +5,15 @@ a shard (what one task holds, ``SHARD_TOKENS`` at most); a shard opens as few se
 pieces out by descending cost, ``l + l * l / size``, each to the sequence of least cost that has room. Where none has room
 for the whole piece, it is cut to fill the cheapest. So all sequences but the last of a shard are full.
 
-Ids come from the tokenizer file by way of a memory of words: the pattern that cuts texts into words never joins them, so
-a word's ids are those it has alone. Strings of special tokens inside a text are ordinary text. Null texts are empty and
+Ids are those of the ``tokenizers`` library with the same file: its vocabulary runs in tiktoken, which merges in the same
+order at a quarter of the time (the tests compare the two). Strings of special tokens inside a text are ordinary text. Null texts are empty and
 consist of id 0; ids may be null or repeated; an empty table gives an empty result.
 """
 
 from __future__ import annotations
 
 import heapq
+import json
 from collections.abc import Iterator
 
 import numpy as np
@@ -23,35 +24,31 @@ from pyspark.sql import functions as F
 
 from .scratch import small_batches
 
-SIZE, SHARD_TOKENS, MEMO_WORDS, TRIES = 1024, 4_000_000, 300_000, 8
+SIZE, SHARD_TOKENS, TRIES = 1024, 4_000_000, 8
 
 
-class Words:
-    """Ids of texts as little-endian 32-bit bytes."""
+class Ids:
+    """Ids of texts as little-endian 32-bit bytes, by the vocabulary of a byte-level BPE file."""
 
     def __init__(self, path: str):
         import public_tokenizers
-        import regex
-        from tokenizers import Tokenizer
-
-        self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
-        self.split = regex.compile(public_tokenizers.PATTERN).findall
-        self.memo: dict[str, bytes] = {}
+        import tiktoken
+
+        with open(path, encoding="utf-8") as f:
+            model = json.load(f)["model"]
+        # a byte is written as itself where it is printable, else as a character from 256 on
+        plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
+        byte = {chr(b): b for b in plain} | {chr(256 + i): b for i, b in enumerate(b for b in range(256) if b not in plain)}
+        vocab, merges = model["vocab"], model["merges"]
+        joined = [vocab["".join(m if isinstance(m, list) else m.split(" "))] for m in merges]
+        if joined != sorted(joined):
+            raise ValueError("ids don't follow the order of merges")
+        ranks = {bytes(byte[c] for c in t): i for t, i in vocab.items() if all(c in byte for c in t) and (len(t) == 1 or i >= joined[0])}
+        ranks = {t: i for t, i in ranks.items() if len(t) == 1 or i <= joined[-1]}
+        self.encoding = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
 
     def ids(self, text: str) -> bytes:
-        words = self.split(text)
-        memo = self.memo
-        try:
-            return b"".join(map(memo.__getitem__, words))
-        except KeyError:
-            pass
-        if len(memo) > MEMO_WORDS:
-            memo.clear()
-        new = list(set(words) - memo.keys())
-        for word, got in zip(new, self.tokenizer.encode_batch_fast(new, add_special_tokens=False)):
-            memo[word] = np.array(got.ids, "<u4").tobytes()
-        return b"".join(map(memo.__getitem__, words))
+        return self.encoding.encode_to_numpy(text, allowed_special=set(), disallowed_special=()).astype("<u4").tobytes()
 
 
 def cost(length: int, size: int = SIZE) -> float:
@@ -89,7 +86,7 @@ def pack(docs: DataFrame, path: str, text: str = "text", ids: str = "doc_id", si
     names = [ids, "start", "length", "ids", "doc_tokens", "sequence_id", "offset"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words, last = Words(path), np.array([end], "<u4").tobytes()
+        ids_of, last = Ids(path).ids, np.array([end], "<u4").tobytes()
         # sequences of a task are numbered within its partition, so a task that runs again numbers them alike
         sequence = TaskContext.get().partitionId() << 40
         rows: list[tuple] = []
@@ -121,7 +118,7 @@ def pack(docs: DataFrame, path: str, text: str = "text", ids: str = "doc_id", si
         for batch in batches:
             id_type = batch.column(0).type
             for doc, value in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                data = words.ids(value or "") + last
+                data = ids_of(value or "") + last
                 n = len(data) // 4
                 full = n - n % size
                 for start in range(0, full, size):
