@@ -4,8 +4,8 @@ The standard library's streaming parser turns a page into lines (text between bl
 with the number of tags in each. A line's text-to-tag ratio, smoothed along the page by a Gaussian, falls into one of two
 clusters around the means of a one-dimensional two-means split: content or boilerplate. The content region is the
 article or main element, or, on pages without one, the innermost element that holds most of the text of content lines.
-All of the region's lines are kept, short ones too; elements that can't be content (navigation, headers and footers of the
-page, asides, forms, scripts, styles, and those whose class, id or role says advert, notice, menu, sidebar or comments)
+All of the region's lines are kept, short ones too; elements that can't be content (navigation, footers, headers of
+the page, asides, forms, scripts, styles, and those whose class, id or role says advert, notice, menu, sidebar or comments)
 are left out wherever they stand.
 
 Null and empty pages give an empty text. Broken markup is read as far as it goes: an end tag closes what it finds open, an
@@ -24,10 +24,10 @@ from pyspark.sql import DataFrame
 from .stats import map_text
 
 SIGMA, SHARE, FEED = 1.0, 0.6, 1 << 20
-SKIPPED = frozenset("nav aside form script style noscript template iframe object svg canvas math select textarea button dialog menu head audio video map datalist".split())
-PAGE_ONLY = frozenset(("header", "footer"))
+SKIPPED = frozenset("nav aside footer form script style noscript template iframe object svg canvas math select textarea button dialog menu head audio video map datalist".split())
+PAGE_ONLY = frozenset(("header",))
 REGIONS = frozenset(("article", "main"))
-HOLDERS = frozenset("html body div section article main header footer table td".split())
+HOLDERS = frozenset("html body div section article main header table td".split())
 BLOCKS = HOLDERS | SKIPPED | frozenset("p h1 h2 h3 h4 h5 h6 ul ol li dl dt dd blockquote pre figure figcaption tr th thead tbody tfoot caption hr br address fieldset details summary center title".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 HINTS = frozenset(
