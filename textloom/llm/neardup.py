@@ -3,14 +3,18 @@
 Sketch. Each shingle hash falls into one of ``REGISTERS`` buckets; a bucket keeps its least hash, compressed to the count
 of leading zeros and ten mantissa bits. Buckets that stay empty are filled in further rounds with other hashes, whose
 number is part of the register, so two sets agree in a register with probability J whatever their sizes.
-Candidates. Bands of four registers are bucket keys: at J = 0.75 all of the 32 bands of a pair differ with probability
-5e-6. Equal sets are one node from the start. In each bucket every member meets a centre (the member that shares most
-buckets with others); what a bucket's centre does not join to its own component meets all members of other components in
-that bucket. The register estimate, corrected for accidental collisions, drops pairs under 0.55 (five standard
-deviations); the rest are confirmed on the full shingle sets.
+Candidates. Bands of five registers are bucket keys: at J = 0.75 all of the 48 bands of a pair differ with probability
+2e-6. Equal sets are one node from the start. In each bucket every member meets a centre, the member that shares most
+buckets with others, which joins nearly all of a group of near copies at the cost of a link each. The register estimate,
+corrected for accidental collisions, drops pairs under 0.6 (five standard deviations); the rest are confirmed on the full
+shingle sets. Where a bucket still holds several components, its members of different components are compared by their
+registers inside a task, and only a spanning forest of what is near leaves it; all nodes of components that hang together
+by it meet once more, with their full sets, and again only a spanning forest of confirmed links leaves the task. So no
+pair that shares a bucket is left out, and no group gives rise to more rows than it has members. Groups over
+``BLOCK_ROWS`` are dealt out in pairs of blocks.
 Components spread the smallest label along confirmed links, with pointer jumping.
 
-No text leads to all pairs of a group: copies cost one link each, and pairs already in one component aren't compared.
+Pairs already in one component aren't compared.
 Null texts and texts without words are empty and linked with nothing; a text with fewer than five words is one shingle.
 Null ids take part: a component's id is its smallest id that isn't null. Rows may repeat; each gets a result.
 """
@@ -28,10 +32,11 @@ from pyspark.sql import functions as F
 from .kernels import LOWER, U64, Rolling, buffers, mix, ranges, shingles, word_bounds
 from .scratch import Scratch, free_shuffles, small_batches
 
-REGISTERS, BANDS, MANTISSA = 128, 32, 10
+REGISTERS, BANDS, MANTISSA = 240, 48, 10
+BLOCK_ROWS, TASK_ROWS = 512, 4096
 _VALUE_BITS = 50
 _ROWS = REGISTERS // BANDS
-LEAST_ESTIMATE = 0.55
+LEAST_ESTIMATE = 0.6
 
 
 def shingle_sets(data: np.ndarray, off: np.ndarray, k: int) -> Iterator[np.ndarray]:
@@ -55,11 +60,12 @@ def sketch(h: np.ndarray) -> np.ndarray:
     """Registers of a set of hashes: round << 16 | leading zeros << 10 | mantissa."""
     regs = np.zeros(REGISTERS, np.uint32)
     empty = np.ones(REGISTERS, bool)
-    shift = U64(64 - int(REGISTERS).bit_length() + 1)
     for turn in range(2 * REGISTERS):
         g = np.sort(mix(h ^ _SEEDS[turn]))
         if turn < REGISTERS:
-            bucket = (g >> shift).astype(np.int64)
+            # the high half of a hash chooses the bucket, in order; what is left of it in the bucket is its value
+            spread = (g >> U64(32)) * U64(REGISTERS)
+            bucket = (spread >> U64(32)).astype(np.int64)
             first = np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1]]))
             bucket, g = bucket[first], g[first]
             use = empty[bucket]
@@ -69,7 +75,8 @@ def sketch(h: np.ndarray) -> np.ndarray:
             if not empty[bucket[0]]:
                 continue
         if len(g):
-            value = (g & U64((1 << int(shift)) - 1)) >> U64(int(shift) - _VALUE_BITS)
+            low = (g >> U64(32)) * U64(REGISTERS) & U64(0xFFFFFFFF)
+            value = low << U64(18) | (g & U64(0xFFFFFFFF)) >> U64(14)
             frac, exponent = np.frexp(value.astype(np.float64))
             zeros = np.minimum(_VALUE_BITS - exponent, 63).astype(np.uint32)
             mant = np.where(value > 0, (frac * 2 - 1) * (1 << MANTISSA), 0).astype(np.uint32)
@@ -151,6 +158,79 @@ def _confirm(percent: int):
     return run
 
 
+class Forest:
+    """Union by smaller name; keeps the links that joined something."""
+
+    def __init__(self):
+        self.up: dict[int, int] = {}
+        self.links: list[tuple[int, int]] = []
+
+    def find(self, x: int) -> int:
+        up = self.up
+        while up.get(x, x) != x:
+            up[x] = up.get(up[x], up[x])
+            x = up[x]
+        return x
+
+    def join(self, x: int, y: int) -> bool:
+        x, y = self.find(x), self.find(y)
+        self.up[max(x, y)] = min(x, y)
+        return x != y
+
+
+def _meetings(percent: int, full: bool):
+    """Tasks of block pairs: the near links between components (not full), or the confirmed links between nodes (full)."""
+
+    def run(table: pa.Table) -> pa.Table:
+        table = table.sort_by([("grp", "ascending"), ("lo", "ascending"), ("hi", "ascending")])
+        node, comp, n, blk, grp, lo, hi = (table.column(c).to_numpy() for c in ("node", "comp", "n", "blk", "grp", "lo", "hi"))
+        regs = np.frombuffer(b"".join(table.column("regs").to_pylist()), np.uint32).reshape(-1, REGISTERS)
+        sets = [np.frombuffer(x, U64) for x in table.column("hashes").to_pylist()] if full else []
+        edge = np.flatnonzero(np.concatenate([[True], (grp[1:] != grp[:-1]) | (lo[1:] != lo[:-1]) | (hi[1:] != hi[:-1]), [True]]))
+        forest, out = Forest(), []
+        for a, b in zip(edge[:-1].tolist(), edge[1:].tolist()):
+            rows = np.arange(a, b)
+            xs = rows if lo[a] == hi[a] else rows[blk[a:b] == lo[a]]
+            ys = rows if lo[a] == hi[a] else rows[blk[a:b] == hi[a]]
+            for i in range(0, len(xs), 64):
+                x = xs[i : i + 64]
+                test = (comp[x][:, None] != comp[ys][None, :]) & (100 * np.minimum(n[x][:, None], n[ys][None, :]) >= percent * np.maximum(n[x][:, None], n[ys][None, :]))
+                if lo[a] == hi[a]:
+                    test &= x[:, None] < ys[None, :]
+                p, q = np.nonzero(test)
+                for j in range(0, len(p), 8192):
+                    u, v = x[p[j : j + 8192]], ys[q[j : j + 8192]]
+                    near = estimate(regs[u], regs[v], n[u], n[v])
+                    order = np.argsort(-near, kind="stable")
+                    order = order[near[order] >= LEAST_ESTIMATE]
+                    for s, t in zip(u[order].tolist(), v[order].tolist()):
+                        c, d = int(comp[s]), int(comp[t])
+                        if forest.find(c) == forest.find(d):
+                            continue
+                        if full:
+                            z = np.sort(np.concatenate([sets[s], sets[t]]), kind="stable")
+                            both = int((z[1:] == z[:-1]).sum())
+                            if 100 * both < percent * (len(z) - both):
+                                continue
+                        forest.join(c, d)
+                        out.append((int(node[s]), int(node[t])) if full else (c, d))
+        cols = list(zip(*out)) or [()] * 2
+        return pa.table([pa.array(c, pa.int64()) for c in cols], names=["a", "b"])
+
+    return run
+
+
+def _in_blocks(rows: DataFrame, group: str) -> DataFrame:
+    """Rows with grp, blk, lo, hi and task: every two rows of a group meet in one task; small groups share tasks."""
+    sized = rows.groupBy(group).agg(F.ceil(F.count("*") / BLOCK_ROWS).cast("int").alias("nb"))
+    tasks = max(1, rows.count() // TASK_ROWS)
+    dealt = rows.join(sized, group).withColumn("grp", F.col(group)).withColumn("blk", F.pmod(F.xxhash64("node"), F.col("nb")).cast("int"))
+    paired = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("nb") - 1)))
+    paired = paired.withColumn("lo", F.least("blk", "other")).withColumn("hi", F.greatest("blk", "other"))
+    task = F.when(F.col("nb") == 1, F.pmod(F.xxhash64("grp"), F.lit(tasks))).otherwise(F.xxhash64("grp", "lo", "hi"))
+    return paired.withColumn("task", task)
+
+
 def components(scratch: Scratch, links: DataFrame, name: str) -> DataFrame:
     """The smallest node reachable from each linked node; links: (a, b)."""
     both = scratch.write(links.select("a", "b").union(links.select("b", "a")).toDF("node", "other").distinct(), f"{name}-both")
@@ -185,43 +265,49 @@ def near_duplicates(docs: DataFrame, text: str = "text", ids: str = "doc_id", pe
     nodes = scratch.write(
         rows.where("node is not null").groupBy("node").agg(F.min("id").alias("one"), F.first("n").alias("n"), F.first("regs").alias("regs"), F.first("bands").alias("bands")), "nodes"
     )
-    keys = nodes.select("node", F.explode("bands").alias("key"))
+    keys = nodes.select("node", "n", F.explode("bands").alias("key"))
     shared = keys.groupBy("key").agg(F.count("*").alias("many")).where("many > 1")
     members = scratch.write(keys.join(shared, "key"), "members")
     degree = members.groupBy("node").agg(F.sum("many").alias("degree"))
     centre = members.join(degree, "node").groupBy("key").agg(F.max(F.struct("degree", "node")).getField("node").alias("centre"))
-    members = scratch.write(members.join(centre, "key").select("key", "node", "centre"), "centred")
     known = scratch.write(nodes.join(members.select("node").distinct(), "node").select("node", "one", "n", "regs"), "known")
     texts = base.join(known.select("node", "one"), F.col("id").eqNullSafe(F.col("one"))).select("node", "text")
     sets = scratch.write(texts.mapInArrow(_sets(k), "node long, hashes binary").dropDuplicates(["node"]), "sets")
     free_shuffles(spark)
 
+    def fits(n: str, m: str) -> F.Column:
+        return 100 * F.least(n, m) >= percent * F.greatest(n, m)
+
     def pruned(pairs: DataFrame, name: str) -> DataFrame:
         pairs = pairs.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
         left = known.select(F.col("node").alias("a"), F.col("n").alias("na"), F.col("regs").alias("ra"))
         right = known.select(F.col("node").alias("b"), F.col("n").alias("nb"), F.col("regs").alias("rb"))
-        near = pairs.join(left, "a").join(right, "b").where(100 * F.least("na", "nb") >= percent * F.greatest("na", "nb"))
+        near = pairs.join(left, "a").join(right, "b").where(fits("na", "nb"))
         return scratch.write(near.select("a", "b", "na", "nb", "ra", "rb").mapInArrow(_prune, "a long, b long"), name)
 
     def confirmed(pairs: DataFrame, name: str) -> DataFrame:
         full = pairs.join(sets.toDF("a", "ha"), "a").join(sets.toDF("b", "hb"), "b").select("a", "b", "ha", "hb")
         return scratch.write(full.mapInArrow(_confirm(percent), "a long, b long"), name)
 
-    tried = pruned(members.where("node <> centre").select(F.col("node").alias("x"), F.col("centre").alias("y")), "tried")
-    links = confirmed(tried, "links")
+    links = confirmed(pruned(members.join(centre, "key").where("node <> centre").select(F.col("node").alias("x"), F.col("centre").alias("y")), "tried"), "links")
     free_shuffles(spark)
     labels = components(scratch, links, "first")
-    # members that their bucket's centre didn't reach, against the other components there
-    placed = members.join(labels, "node", "left").select("key", "node", "centre", F.coalesce("comp", "node").alias("comp"))
-    mixed = placed.groupBy("key").agg(F.max(F.when(F.col("node") == F.col("centre"), F.col("comp"))).alias("main"), F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi")
-    mixed = scratch.write(placed.join(mixed.select("key", "main"), "key"), "mixed")
-    apart = mixed.where("comp <> main").select("key", F.col("node").alias("x"), F.col("comp").alias("cx"))
-    facing = mixed.where("node <> centre").select("key", F.col("node").alias("y"), F.col("comp").alias("cy"))
-    more = pruned(apart.join(facing, "key").where("cx <> cy").select("x", "y"), "more").join(tried, ["a", "b"], "left_anti")
-    late = confirmed(more, "late")
+    placed = scratch.write(known.join(labels, "node", "left").select("node", "n", "regs", F.coalesce("comp", "node").alias("comp")), "placed")
+    held = members.select("key", "node").join(placed.select("node", "comp"), "node")
+    mixed = held.groupBy("key").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).where("low <> high").select("key")
+    mixed = scratch.write(held.join(mixed, "key").select("key", "node"), "mixed")
+    met = _in_blocks(mixed, "key").join(placed, "node")
+    near = met.groupBy("task").applyInArrow(_meetings(percent, False), "a long, b long")
+    near = scratch.write(near.distinct(), "near")
     free_shuffles(spark)
-    if late.head(1):
-        labels = components(scratch, links.union(late), "last")
+    if near.head(1):
+        hang = components(scratch, near, "hang").toDF("comp", "cluster")
+        close = scratch.write(placed.join(hang, "comp").select("node", "cluster"), "close")
+        met = _in_blocks(close, "cluster").join(placed, "node").join(sets, "node")
+        late = scratch.write(met.groupBy("task").applyInArrow(_meetings(percent, True), "a long, b long"), "late")
+        free_shuffles(spark)
+        if late.head(1):
+            labels = components(scratch, links.union(late), "last")
     groups = labels.join(nodes.select("node", "one"), "node")
     least = groups.groupBy("comp").agg(F.min("one").alias("least"))
     found = groups.join(least, "comp").select("node", "least")
