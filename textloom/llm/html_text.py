@@ -38,11 +38,13 @@ HINTS = frozenset(
 _TOKEN = re.compile(r"[A-Za-z]+")
 
 
-def _hidden(attrs: list[tuple[str, str | None]]) -> bool:
+def _hidden(attrs: list[tuple[str, str | None]], inside: bool) -> bool:
     for name, value in attrs:
         if name in ("class", "id", "role"):
-            if value and not HINTS.isdisjoint(map(str.lower, _TOKEN.findall(value))):
-                return True
+            if value:
+                tokens = [*map(str.lower, _TOKEN.findall(value))]
+                if not HINTS.isdisjoint(tokens) or not inside and not PAGE_ONLY.isdisjoint(tokens):
+                    return True
         elif name == "hidden" or name == "aria-hidden" and value == "true":
             return True
         elif name == "style" and value and "display:none" in value.replace(" ", "").lower():
@@ -73,14 +75,14 @@ class Lines(HTMLParser):
         name, element, out = self.stack[-1]
         if tag in BLOCKS:
             self._flush()
-            if tag in ("p", "li") and name == tag:  # its end tag was left away
+            if name == "p" and tag != "br" or name == "li" and tag == "li":  # its end tag was left away
                 self.stack.pop()
                 name, element, out = self.stack[-1]
         if not out:
             self.tags += 1
         if tag in VOID:
             return
-        hide = out or tag in SKIPPED or (tag in PAGE_ONLY and not self.region[element]) or (bool(attrs) and tag not in ("html", "body") and tag not in REGIONS and _hidden(attrs))
+        hide = out or tag in SKIPPED or (tag in PAGE_ONLY and not self.region[element]) or (bool(attrs) and tag not in ("html", "body") and tag not in REGIONS and _hidden(attrs, self.region[element]))
         if tag in HOLDERS and not out:
             self.parent.append(element)
             self.region.append(self.region[element] or tag in REGIONS)
