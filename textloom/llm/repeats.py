@@ -43,7 +43,8 @@ COVERS = {
 FLUSH = 16 << 20
 FLUSH_POSITIONS = 1_500_000
 _PACKED = "block int, hashes binary, keys binary, counts binary, deltas binary, width int"
-_FOUND = "key long, n int, deltas binary"
+_FOUND = "bucket int, keys binary, counts binary, deltas binary"
+_POSITIONS = "key long, deltas binary"
 
 
 def cover_for(length: int) -> tuple[int, np.ndarray]:
@@ -58,24 +59,46 @@ def _deltas(at: np.ndarray, first: np.ndarray) -> np.ndarray:
     return d
 
 
-def _found_rows(key: np.ndarray, pos: np.ndarray) -> tuple[np.ndarray, np.ndarray, list[bytes]]:
-    """Positions by key: keys, how many, and their deltas packed."""
+def _runs(key: np.ndarray, pos: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct positions by key: keys, how many each has, and the deltas of all."""
     order = np.lexsort((pos, key))
     key, pos = key[order], pos[order]
     keep = np.ones(len(key), bool)
     keep[1:] = (key[1:] != key[:-1]) | (pos[1:] != pos[:-1])
     key, pos = key[keep], pos[keep]
     first = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]])) if len(key) else np.zeros(0, np.int64)
-    n = np.diff(np.append(first, len(key)))
-    d = _deltas(pos, first)
-    return key[first], n, [planes(d[a : a + m], 4) for a, m in zip(first.tolist(), n.tolist())]
+    return key[first], np.diff(np.append(first, len(key))), _deltas(pos, first)
 
 
-def decode(pieces: list[bytes]) -> np.ndarray:
-    """Positions in all the packed pieces of one key, ascending, each once."""
-    if not pieces:
-        return np.zeros(0, np.int64)
-    return np.unique(np.concatenate([np.cumsum(unplanes(p, 4).astype(np.int64)) for p in pieces]))
+def _flat(keys: bytes, counts: bytes, deltas: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """Keys and positions of packed runs."""
+    count = unplanes(counts, 4).astype(np.int64)
+    d = unplanes(deltas, 4).astype(np.int64)
+    total = np.cumsum(d)
+    first = np.cumsum(count) - count
+    total -= np.repeat(total[first] - d[first], count)
+    return np.repeat(np.frombuffer(keys, np.int64), count), total
+
+
+def _by_bucket(key: np.ndarray, pos: np.ndarray, buckets: int) -> Iterator[tuple[int, bytes, bytes, bytes]]:
+    """The positions packed in one row for each bucket of keys."""
+    k, n, d = _runs(key, pos)
+    bucket = (mix(k.view(U64)) % U64(buckets)).astype(np.int32)
+    order = np.argsort(bucket, kind="stable")
+    start = np.cumsum(n) - n
+    at = np.arange(len(d)) - np.repeat(start - (np.cumsum(n[order]) - n[order])[np.argsort(order)], n)
+    moved = np.empty_like(d)
+    moved[at] = d
+    k, n, bucket = k[order], n[order], bucket[order]
+    cut = np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1]])) if len(k) else np.zeros(0, np.int64)
+    ends = np.concatenate([[0], np.cumsum(n)])
+    for i, j in zip(cut.tolist(), np.append(cut[1:], len(k)).tolist()):
+        yield int(bucket[i]), k[i:j].tobytes(), planes(n[i:j], 4), planes(moved[ends[i] : ends[j]], 4)
+
+
+def decode(deltas: bytes | None) -> np.ndarray:
+    """The ascending positions of one key."""
+    return np.cumsum(unplanes(deltas, 4).astype(np.int64)) if deltas else np.zeros(0, np.int64)
 
 
 class _Packer:
@@ -104,9 +127,8 @@ class _Packer:
         shared[:-1] |= ~new[1:]
         out: list[tuple] = []
         if shared.any():
-            k, n, d = _found_rows(key[shared], pos[shared])
-            # those found here travel with the block of their key, as rows without hashes
-            out += [(int(b), None, x.tobytes(), planes(np.array([m]), 4), p, 0) for b, x, m, p in zip((k.astype(U64) % U64(self.blocks)).tolist(), k, n.tolist(), d)]
+            # those found here travel with the block of their keys' number, as rows without hashes
+            out += [(b, None, k, n, d, 0) for b, k, n, d in _by_bucket(key[shared], pos[shared], self.blocks)]
         h, key, pos = h[new], key[new], pos[new]
         block = (mix(h) % U64(self.blocks)).astype(np.int32)
         order = np.lexsort((pos, key, block))
@@ -125,40 +147,40 @@ class _Packer:
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds)], names=["block", "hashes", "keys", "counts", "deltas", "width"])
 
 
-def _settle(table: pa.Table) -> pa.Table:
-    """One block: the (key, position) whose hash has another (key, position)."""
-    hs, ks, ps, done = [], [], [], []
-    cols = [table.column(c).to_pylist() for c in ("hashes", "keys", "counts", "deltas", "width")]
-    for hashes, keys, counts, deltas, width in zip(*cols):
-        if hashes is None:
-            done.append((int(np.frombuffer(keys, np.int64)[0]), int(unplanes(counts, 4)[0]), deltas))
-            continue
-        count = unplanes(counts, 4).astype(np.int64)
-        d = unplanes(deltas, 4).astype(np.int64)
-        total = np.cumsum(d)
-        first = np.cumsum(count) - count
-        total -= np.repeat(total[first] - d[first], count)
-        hs.append(unplanes(hashes, width))
-        ks.append(np.repeat(np.frombuffer(keys, np.int64), count))
-        ps.append(total)
-    del cols
-    key, n, packed = (np.zeros(0, np.int64), np.zeros(0, np.int64), [])
-    if hs:
-        h, k, p = np.concatenate(hs), np.concatenate(ks), np.concatenate(ps)
-        del hs, ks, ps
-        order = np.argsort(h)
-        h, k, p = h[order], k[order], p[order]
-        first = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]]))
-        who = mix(k.view(U64)) + p.astype(U64)
-        shared = np.minimum.reduceat(who, first) != np.maximum.reduceat(who, first)
-        shared = np.repeat(shared, np.diff(np.append(first, len(h))))
-        if shared.any():
-            key, n, packed = _found_rows(k[shared], p[shared])
-    return pa.table({
-        "key": pa.array([*key.tolist(), *(x[0] for x in done)], pa.int64()),
-        "n": pa.array([*n.tolist(), *(x[1] for x in done)], pa.int32()),
-        "deltas": pa.array([*packed, *(x[2] for x in done)], pa.binary()),
-    })
+def _settle(buckets: int):
+    def run(table: pa.Table) -> pa.Table:
+        """One block: the (key, position) whose hash has another (key, position), packed by buckets of keys."""
+        hs, ks, ps, out = [], [], [], []
+        cols = [table.column(c).to_pylist() for c in ("block", "hashes", "keys", "counts", "deltas", "width")]
+        for block, hashes, keys, counts, deltas, width in zip(*cols):
+            if hashes is None:
+                out.append((block, keys, counts, deltas))
+                continue
+            k, p = _flat(keys, counts, deltas)
+            hs.append(unplanes(hashes, width)), ks.append(k), ps.append(p)
+        del cols
+        if hs:
+            h, k, p = np.concatenate(hs), np.concatenate(ks), np.concatenate(ps)
+            del hs, ks, ps
+            order = np.argsort(h)
+            h, k, p = h[order], k[order], p[order]
+            first = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]]))
+            who = mix(k.view(U64)) + p.astype(U64)
+            shared = np.minimum.reduceat(who, first) != np.maximum.reduceat(who, first)
+            shared = np.repeat(shared, np.diff(np.append(first, len(h))))
+            out += _by_bucket(k[shared], p[shared], buckets)
+        kinds = (pa.int32(), pa.binary(), pa.binary(), pa.binary())
+        return pa.table([pa.array(c, t) for c, t in zip(list(zip(*out)) or [()] * 4, kinds)], names=["bucket", "keys", "counts", "deltas"])
+
+    return run
+
+
+def _gather(table: pa.Table) -> pa.Table:
+    """One bucket of keys: a row for each key with all its positions."""
+    parts = [_flat(*x) for x in zip(*(table.column(c).to_pylist() for c in ("keys", "counts", "deltas")))]
+    k, n, d = _runs(*(np.concatenate(x) for x in zip(*parts)))
+    ends = np.concatenate([[0], np.cumsum(n)]).tolist()
+    return pa.table({"key": pa.array(k, pa.int64()), "deltas": pa.array([planes(d[a:b], 4) for a, b in zip(ends, ends[1:])], pa.binary())})
 
 
 def _sample(length: int, blocks: int):
@@ -211,10 +233,10 @@ def _candidates(length: int, blocks: int):
         for batch in batches:
             data, off = buffers(batch.column("text"))
             keys = batch.column("key").to_numpy(zero_copy_only=False)
-            found = batch.column("pieces").to_pylist()
-            for i, pieces in enumerate(found):
+            found = batch.column("deltas").to_pylist()
+            for i, deltas in enumerate(found):
                 text = data[off[i] : off[i + 1]]
-                shared = decode(pieces)
+                shared = decode(deltas)
                 last = len(text) - length
                 edge = np.zeros(len(text) + 2, np.int32)
                 np.add.at(edge, np.maximum(shared - v + 1, 0), 1)
@@ -245,14 +267,14 @@ def _cut(length: int, keep_characters: bool):
         for batch in batches:
             data, off = buffers(batch.column("text"))
             copies = batch.column("copies").to_pylist()
-            found = batch.column("pieces").to_pylist()
+            found = batch.column("deltas").to_pylist()
             starts, ends, kept = [], [], []
-            for i, (n, pieces) in enumerate(zip(copies, found)):
+            for i, (n, deltas) in enumerate(zip(copies, found)):
                 text = data[off[i] : off[i + 1]]
                 if n and n > 1 and len(text) >= length:
                     a, b = np.array([0]), np.array([len(text)])
                 else:
-                    a, b = spans_of(decode(pieces or []), length)
+                    a, b = spans_of(decode(deltas), length)
                 if keep_characters and len(a):
                     # a character that is only partly covered stays whole
                     head = np.append((text & 0xC0) != 0x80, True)
@@ -266,8 +288,8 @@ def _cut(length: int, keep_characters: bool):
                 kept.append(text[np.cumsum(mask[:-1]) == 0].tobytes() if len(a) else text.tobytes())
                 starts.append(a.tolist())
                 ends.append(b.tolist())
-            rest = [batch.column(c) for c in batch.schema.names if c not in ("text", "key", "copies", "pieces")]
-            names = [c for c in batch.schema.names if c not in ("text", "key", "copies", "pieces")]
+            rest = [batch.column(c) for c in batch.schema.names if c not in ("text", "key", "copies", "deltas")]
+            names = [c for c in batch.schema.names if c not in ("text", "key", "copies", "deltas")]
             yield pa.RecordBatch.from_arrays(
                 [*rest, pa.array(np.diff(off), pa.int64()), pa.array(starts, pa.list_(pa.int64())), pa.array(ends, pa.list_(pa.int64())), pa.array(kept, pa.binary())],
                 names=[*names, "n_bytes", "starts", "ends", "kept"],
@@ -291,20 +313,20 @@ def cut_repeats(docs: DataFrame, text: str = "text", ids: str = "doc_id", length
     base = rows.select("id", "text", "key")
 
     def shared(mapped: DataFrame) -> DataFrame:
-        found = mapped.groupBy("block").applyInArrow(_settle, _FOUND)
-        return found.groupBy("key").agg(F.collect_list("deltas").alias("pieces"))
+        found = mapped.groupBy("block").applyInArrow(_settle(blocks), _FOUND)
+        return found.groupBy("bucket").applyInArrow(_gather, _POSITIONS)
 
     sampled = scratch.write(shared(base.select("key", "text").mapInArrow(_sample(length, blocks), _PACKED)), "samples")
     free_shuffles(spark)
     classes = base.where(F.octet_length("text") >= length).groupBy("key").agg(F.count("*").alias("copies"), F.min("id").alias("one"))
-    reps = scratch.write(sampled.join(classes, "key").select(F.col("key").alias("k"), "one", "pieces"), "reps")
-    meets = base.join(reps.hint("shuffle_hash"), (base["key"] == reps["k"]) & base["id"].eqNullSafe(reps["one"])).select("key", "text", "pieces")
+    reps = scratch.write(sampled.join(classes, "key").select(F.col("key").alias("k"), "one", "deltas"), "reps")
+    meets = base.join(reps.hint("shuffle_hash"), (base["key"] == reps["k"]) & base["id"].eqNullSafe(reps["one"])).select("key", "text", "deltas")
     starts = scratch.write(shared(meets.mapInArrow(_candidates(length, blocks), _PACKED)), "starts")
     free_shuffles(spark)
     scratch.drop("samples", "reps")
-    result = scratch.write(classes.where("copies > 1").join(starts, "key", "full").select(F.col("key").alias("k"), "copies", "pieces"), "result")
+    result = scratch.write(classes.where("copies > 1").join(starts, "key", "full").select(F.col("key").alias("k"), "copies", "deltas"), "result")
     free_shuffles(spark)
-    joined = rows.join(result, rows["key"] == result["k"], "left").select("id", *carried, "text", "key", "copies", "pieces")
+    joined = rows.join(result, rows["key"] == result["k"], "left").select("id", *carried, "text", "key", "copies", "deltas")
     kinds = dict(rows.dtypes)
     schema = ", ".join(f"{c} {kinds[c]}" for c in ("id", *carried))
     out = joined.mapInArrow(_cut(length, keep_characters), f"{schema}, n_bytes long, starts array<long>, ends array<long>, kept binary")
