@@ -14,7 +14,7 @@ strings is all that is asked of the suffix order, so suffixes are put in order b
 Rows travel as packed arrays, a few bytes for each position. Equal texts count as one in steps 1 and 2 (a text that
 occurs twice is repeated as a whole), and a mapper sends a window that it holds several times only once, so a passage in
 a third of all texts is no hot key. Memory: one flush of ``FLUSH`` bytes in a mapper, one block in a reducer; the number
-of blocks is four times ``spark.sql.shuffle.partitions``.
+of blocks is twice ``spark.sql.shuffle.partitions``.
 
 Null texts are empty. Rows that are equal in id and text get equal results; ids may be null or repeated; an empty table
 gives an empty result; columns other than the id and the text don't matter.
@@ -104,8 +104,8 @@ def decode(deltas: bytes | None) -> np.ndarray:
 class _Packer:
     """Gathers (hash, key, position) and gives rows for blocks, with what repeats within the flush settled at once."""
 
-    def __init__(self, blocks: int, width: int):
-        self.blocks, self.width = blocks, width
+    def __init__(self, blocks: int, buckets: int, width: int):
+        self.blocks, self.buckets, self.width = blocks, buckets, width
         self.parts: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
         self.n = 0
 
@@ -128,7 +128,7 @@ class _Packer:
         out: list[tuple] = []
         if shared.any():
             # those found here travel with the block of their keys' number, as rows without hashes
-            out += [(b, None, k, n, d, 0) for b, k, n, d in _by_bucket(key[shared], pos[shared], self.blocks)]
+            out += [(b, None, k, n, d, 0) for b, k, n, d in _by_bucket(key[shared], pos[shared], self.buckets)]
         h, key, pos = h[new], key[new], pos[new]
         block = (mix(h) % U64(self.blocks)).astype(np.int32)
         order = np.lexsort((pos, key, block))
@@ -183,13 +183,13 @@ def _gather(table: pa.Table) -> pa.Table:
     return pa.table({"key": pa.array(k, pa.int64()), "deltas": pa.array([planes(d[a:b], 4) for a, b in zip(ends, ends[1:])], pa.binary())})
 
 
-def _sample(length: int, blocks: int):
+def _sample(length: int, blocks: int, buckets: int):
     """Mapper of step 1: hashes of the windows at sampled positions."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         v, cover = cover_for(length)
         window, roll = length - v + 1, Rolling(11)
-        packer, held, seen = _Packer(blocks, 5), 0, set()
+        packer, held, seen = _Packer(blocks, buckets, 5), 0, set()
         for batch in batches:
             data, off = buffers(batch.column("text"))
             keys = batch.column("key").to_numpy(zero_copy_only=False)
@@ -214,7 +214,7 @@ def _sample(length: int, blocks: int):
                 if i < j:
                     sums = roll.sums(data[a : a + CHUNK + window])
                     s = where[i:j] - a
-                    packer.add(roll.windows(sums, s, s + window) & U64(0xFFFFFFFFFF) | (U64(0)), keys[doc[i:j]], pos[i:j])
+                    packer.add(roll.windows(sums, s, s + window) & U64(0xFFFFFFFFFF), keys[doc[i:j]], pos[i:j])
             held += len(data)
             if held >= FLUSH:
                 yield from packer.rows()
@@ -224,12 +224,12 @@ def _sample(length: int, blocks: int):
     return run
 
 
-def _candidates(length: int, blocks: int):
+def _candidates(length: int, blocks: int, buckets: int):
     """Mapper of step 2: hashes of the whole strings that a shared sample allows."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         v, _ = cover_for(length)
-        roll, packer = Rolling(23), _Packer(blocks, 7)
+        roll, packer = Rolling(23), _Packer(blocks, buckets, 7)
         for batch in batches:
             data, off = buffers(batch.column("text"))
             keys = batch.column("key").to_numpy(zero_copy_only=False)
@@ -306,22 +306,23 @@ def cut_repeats(docs: DataFrame, text: str = "text", ids: str = "doc_id", length
     spark = docs.sparkSession
     small_batches(spark)
     scratch = Scratch(spark, "repeats")
-    blocks = 4 * shuffle_partitions(spark)
+    buckets = shuffle_partitions(spark)
+    blocks = 2 * buckets
     whole = F.coalesce(docs[text], F.lit(""))
     carried = {f"_carried_{i}": docs[c] for i, c in enumerate(carry or [])}
     rows = docs.select(docs[ids].alias("id"), whole.alias("text"), F.xxhash64(whole, F.octet_length(whole)).alias("key"), *(c.alias(k) for k, c in carried.items()))
     base = rows.select("id", "text", "key")
 
     def shared(mapped: DataFrame) -> DataFrame:
-        found = mapped.groupBy("block").applyInArrow(_settle(blocks), _FOUND)
+        found = mapped.groupBy("block").applyInArrow(_settle(buckets), _FOUND)
         return found.groupBy("bucket").applyInArrow(_gather, _POSITIONS)
 
-    sampled = scratch.write(shared(base.select("key", "text").mapInArrow(_sample(length, blocks), _PACKED)), "samples")
+    sampled = scratch.write(shared(base.select("key", "text").mapInArrow(_sample(length, blocks, buckets), _PACKED)), "samples")
     free_shuffles(spark)
     classes = base.where(F.octet_length("text") >= length).groupBy("key").agg(F.count("*").alias("copies"), F.min("id").alias("one"))
     reps = scratch.write(sampled.join(classes, "key").select(F.col("key").alias("k"), "one", "deltas"), "reps")
     meets = base.join(reps.hint("shuffle_hash"), (base["key"] == reps["k"]) & base["id"].eqNullSafe(reps["one"])).select("key", "text", "deltas")
-    starts = scratch.write(shared(meets.mapInArrow(_candidates(length, blocks), _PACKED)), "starts")
+    starts = scratch.write(shared(meets.mapInArrow(_candidates(length, blocks, buckets), _PACKED)), "starts")
     free_shuffles(spark)
     scratch.drop("samples", "reps")
     result = scratch.write(classes.where("copies > 1").join(starts, "key", "full").select(F.col("key").alias("k"), "copies", "deltas"), "result")
