@@ -162,6 +162,15 @@ def test_sources(spark, tmp_path, built):
     assert by_id(tables.load_index(spark, str(tmp_path / "idx")), "r", "pos") == by_id(built, "r", "pos")
 
 
+def test_texts_from_bwt_files(spark, tmp_path):
+    (tmp_path / "x.bw").write_bytes(b"annbaa")  # of banana, without the row of the end
+    (tmp_path / "x.lst").write_text("4")
+    bwt = tables.read_bwt(spark, str(tmp_path / "x.bw"), str(tmp_path / "x.lst"), size=256)
+    assert by_id(index.inverse_bwt(bwt), "text") == {0: [("banana",)]}
+    with pytest.raises(Exception, match="symbol out of range"):
+        tables.read_bwt(spark, str(tmp_path / "x.bw"), str(tmp_path / "x.lst"), size=98).collect()
+
+
 def test_stream_of_texts(spark, tmp_path, docs):
     docs.write.parquet(str(tmp_path / "in"))
     stream = spark.readStream.schema(docs.schema).parquet(str(tmp_path / "in"))

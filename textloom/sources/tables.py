@@ -7,6 +7,8 @@ import tempfile
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.symbols import from_code_point
+
 
 def cut(df: DataFrame) -> DataFrame:
     """The same rows, read from the cluster's checkpoint folder, so that loops don't grow the plan."""
@@ -36,6 +38,19 @@ def read_symbols(spark: SparkSession, path: str, width: int = 1) -> DataFrame:
     return at.select("id", F.col("i").cast("long"), F.conv(digits, 16, 10).cast("long").alias("sym"))
 
 
+def read_bwt(spark: SparkSession, symbols: str, last: str, width: int = 1, size: int | None = None) -> DataFrame:
+    """(id, r, bw) from a BWT file of fixed-width symbols without its end-of-text row, and a file with that row's number.
+
+    Symbols are code points. With ``size``, a symbol that isn't smaller is an error. One text, with id 0.
+    """
+    at = int(spark.read.text(last).head().value)
+    rows = read_symbols(spark, symbols, width)
+    if size is not None:
+        rows = rows.withColumn("sym", F.when(F.col("sym") < size, F.col("sym")).otherwise(F.raise_error(F.concat(F.lit("symbol out of range: "), "sym"))))
+    moved = rows.select(F.lit(0).cast("long").alias("id"), F.when(F.col("i") < at, F.col("i")).otherwise(F.col("i") + 1).alias("r"), from_code_point(F.col("sym")).alias("bw"))
+    return moved.unionByName(spark.range(1).select(F.lit(0).cast("long").alias("id"), F.lit(at).cast("long").alias("r"), F.lit(None).cast("string").alias("bw")))
+
+
 def save_index(index: DataFrame, path: str, buckets: int | None = None) -> None:
     """Writes an index sorted by (id, r), so that row-group statistics skip what a lookup doesn't need."""
     laid = index.repartition(buckets, "id") if buckets else index.repartition("id")
