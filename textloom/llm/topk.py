@@ -179,7 +179,10 @@ def top_k(vectors: DataFrame, vector: str = "embedding", ids: str = "vec_id", k:
     scratch = Scratch(vectors.sparkSession, "topk")
     rows = vectors.where(F.col(ids).isNotNull()).select(F.col(ids).cast("long"), F.col(vector))
     shards = scratch.write(rows.mapInArrow(_blocks(SHARD_ROWS, scale, None), _BLOCK), "shards")
-    blocks = scratch.write(rows.where(F.col(ids) % every == 0).dropDuplicates([ids]).mapInArrow(_blocks(QUERY_ROWS, scale, every), _BLOCK), "blocks")
+    queries = scratch.write(rows.where(F.col(ids) % every == 0).dropDuplicates([ids]), "queries")
+    # full blocks, however many partitions the table has
+    queries = queries.repartition(max(1, -(-queries.count() // QUERY_ROWS)))
+    blocks = scratch.write(queries.mapInArrow(_blocks(QUERY_ROWS, scale, every), _BLOCK), "blocks")
     groups = max(1, -(-shards.count() // GROUP_SHARDS))
     names = [r.part for r in blocks.select("part").distinct().collect()]  # one number for QUERY_ROWS queries
     left = shards.withColumn("grp", F.pmod(F.xxhash64("part"), F.lit(groups))).withColumn("block", F.explode(F.array(*map(F.lit, names)).cast("array<long>")))
