@@ -33,8 +33,8 @@ from .kernels import LOWER, U64, Rolling, buffers, mix, ranges, shingles, word_b
 from .scratch import Scratch, free_shuffles, small_batches
 
 REGISTERS, BANDS, MANTISSA = 240, 48, 10
-BLOCK_ROWS, TASK_ROWS = 512, 4096
-_VALUE_BITS = 50
+BLOCK_ROWS, TASK_ROWS = 512, 1024
+_VALUE_BITS = 48
 _ROWS = REGISTERS // BANDS
 LEAST_ESTIMATE = 0.6
 
@@ -57,34 +57,34 @@ _SEEDS = mix(np.arange(1, 2 * REGISTERS + 1, dtype=np.uint64) * U64(0x9E3779B97F
 
 
 def sketch(h: np.ndarray) -> np.ndarray:
-    """Registers of a set of hashes: round << 16 | leading zeros << 10 | mantissa."""
-    regs = np.zeros(REGISTERS, np.uint32)
-    empty = np.ones(REGISTERS, bool)
-    for turn in range(2 * REGISTERS):
-        g = np.sort(mix(h ^ _SEEDS[turn]))
-        if turn < REGISTERS:
-            # the high half of a hash chooses the bucket, in order; what is left of it in the bucket is its value
-            spread = (g >> U64(32)) * U64(REGISTERS)
-            bucket = (spread >> U64(32)).astype(np.int64)
-            first = np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1]]))
-            bucket, g = bucket[first], g[first]
-            use = empty[bucket]
-            bucket, g = bucket[use], g[use]
-        else:  # the last rounds give each bucket to all
-            bucket, g = np.array([turn - REGISTERS]), g[:1]
-            if not empty[bucket[0]]:
-                continue
-        if len(g):
-            low = (g >> U64(32)) * U64(REGISTERS) & U64(0xFFFFFFFF)
-            value = low << U64(18) | (g & U64(0xFFFFFFFF)) >> U64(14)
-            frac, exponent = np.frexp(value.astype(np.float64))
-            zeros = np.minimum(_VALUE_BITS - exponent, 63).astype(np.uint32)
-            mant = np.where(value > 0, (frac * 2 - 1) * (1 << MANTISSA), 0).astype(np.uint32)
-            regs[bucket] = np.uint32(turn << 16) | zeros << np.uint32(MANTISSA) | mant
-            empty[bucket] = False
-            if not empty.any():
-                break
-    return regs
+    """Registers of a set of hashes: round << 16 | leading zeros << 10 | mantissa.
+
+    A round's hash gives a bucket by its high half and a value by the rest. A bucket takes the least value of the first
+    round that reaches it; rounds are computed as many at a time as should fill all buckets. After ``REGISTERS`` rounds
+    (few hashes) a bucket that is still empty takes the least value of a round of its own.
+    """
+    least = np.full(REGISTERS, ~U64(0), U64)  # round << 48 | value
+    turn = 0
+    while turn < REGISTERS and (least == ~U64(0)).any():
+        many = min(REGISTERS - turn, -(-7 * REGISTERS // len(h)))
+        g = mix(h[None, :] ^ _SEEDS[turn : turn + many, None])
+        spread = (g >> U64(32)) * U64(REGISTERS)
+        value = (spread & U64(0xFFFFFFFF)) << U64(16) | (g & U64(0xFFFFFFFF)) >> U64(16)
+        key = np.sort(((spread >> U64(32)) << U64(56) | np.arange(turn, turn + many, dtype=np.uint64)[:, None] << U64(48) | value).ravel())
+        bucket = (key >> U64(56)).astype(np.int64)
+        first = np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1]]))
+        bucket = bucket[first]
+        least[bucket] = np.minimum(least[bucket], key[first] & U64((1 << 56) - 1))
+        turn += many
+    (empty,) = np.nonzero(least == ~U64(0))
+    if len(empty):
+        own = mix(h[None, :] ^ _SEEDS[REGISTERS + empty, None]).min(1) >> U64(16)
+        least[empty] = U64(255) << U64(48) | own
+    value = least & U64((1 << _VALUE_BITS) - 1)
+    frac, exponent = np.frexp(value.astype(np.float64))
+    zeros = np.minimum(_VALUE_BITS - exponent, 63).astype(np.uint32)
+    mant = np.where(value > 0, (frac * 2 - 1) * (1 << MANTISSA), 0).astype(np.uint32)
+    return (least >> U64(48)).astype(np.uint32) << np.uint32(16) | zeros << np.uint32(MANTISSA) | mant
 
 
 def estimate(a: np.ndarray, b: np.ndarray, n: np.ndarray, m: np.ndarray) -> np.ndarray:
