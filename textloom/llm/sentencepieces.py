@@ -16,9 +16,11 @@ decode to an empty text; rows may repeat and ids of rows may be null.
 
 from __future__ import annotations
 
+import math
 import re
 import struct
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -26,10 +28,9 @@ from pyspark.sql import DataFrame
 
 from .stats import map_text
 
-MARK, MEMO_WORDS = "▁", 400_000
+MARK, MEMO_WORDS, MEMO_PAIRS = "▁", 400_000, 1_000_000
 UNIGRAM, BPE = 1, 2
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = range(1, 7)
-_WORD = re.compile(f"{MARK}*[^{MARK}]+|{MARK}+")
 
 
 def _fields(b: bytes) -> Iterator[tuple[int, int | bytes]]:
@@ -102,83 +103,122 @@ class Model:
 
 class Encoder:
     def __init__(self, path: str):
-        self.model = Model(path)
+        self.model = model = Model(path)
         self.memo: dict[str, bytes] = {}
-        self.pairs: dict[tuple[str, str], bool] = {}
+        self.pairs: dict[int, bool] = {}
+        # pieces by their characters from the last to the first: each step leads to (further steps, id or -1)
+        self.back: dict[str, tuple[dict, int]] = {}
+        for piece, k in model.ids.items():
+            node = self.back
+            for c in reversed(piece[1:]):
+                node = node.setdefault(c, ({}, -1))[0]
+            node[piece[0]] = (node.get(piece[0], ({}, -1))[0], k)
+        # what no longer piece holds parts words as well
+        inner = {c for p in model.ids if len(p) > 1 for c in p}
+        apart = "".join(c for c in "\t\n\r" if c not in inner)
+        self.cut = re.compile(f"{MARK}*[^{MARK}{apart}]+|{MARK}+" + (f"|[{apart}]" if apart else "")).findall
 
     def merged(self, text: str) -> list[str]:
         """The BPE segmentation by merging: the neighbours whose joined piece has the best score, leftmost first."""
-        ids, scores = self.model.ids, self.model.scores
+        get, scores = self.model.ids.get, self.model.scores
         parts = list(text)
-        while True:
+        ranks = [get(a + b, -1) for a, b in zip(parts, parts[1:])]
+        while ranks:
             best, at = None, -1
-            for i in range(len(parts) - 1):
-                k = ids.get(parts[i] + parts[i + 1])
-                if k is not None and (best is None or scores[k] > best):
+            for i, k in enumerate(ranks):
+                if k >= 0 and (best is None or scores[k] > best):
                     best, at = scores[k], i
             if at < 0:
-                return parts
+                break
             parts[at : at + 2] = [parts[at] + parts[at + 1]]
-
-    def follows(self, a: str, b: str) -> bool:
-        got = self.pairs.get((a, b))
-        if got is None:
-            if len(self.pairs) > 2_000_000:
-                self.pairs.clear()
-            got = self.pairs[a, b] = self.merged(a + b) == [a, b]
+            del ranks[at]
+            if at:
+                ranks[at - 1] = get(parts[at - 1] + parts[at], -1)
+            if at < len(ranks):
+                ranks[at] = get(parts[at] + parts[at + 1], -1)
+        return parts
+
+    def follows(self, a: int, b: int) -> bool:
+        """Whether merging leaves the pieces a and b as they are; a = -1: b at the start."""
+        if len(self.pairs) > MEMO_PAIRS:
+            self.pairs.clear()
+        pieces = self.model.pieces
+        want = [pieces[b]] if a < 0 else [pieces[a], pieces[b]]
+        got = self.pairs[a << 24 | b] = self.merged("".join(want)) == want
         return got
 
     def learn(self, words: list[str]) -> None:
         """Encodes the words, sorted: each takes over the forward states of the prefix it shares with the last."""
-        ids, scores, longest, bpe = self.model.ids, self.model.scores, self.model.longest, self.model.type == BPE
-        least, follows = self.model.least, self.follows
-        last: list[str] = [""]  # by prefix length: its last piece
-        total: list[float] = [0.0]  # and its score
-        before = ""
+        if self.model.type == BPE:
+            states = self._merging
+        else:
+            states = self._summing
+        last: list[int] = [-1]  # by prefix length: id of its last piece, -2 for a character without one
+        start: list[int] = [0]  # where that begins
+        total: list[float] = [0.0]  # and the score so far
+        before, spell, memo = "", self.model.spell, self.memo
         for word in sorted(words):
             n, shared = len(word), 0
             most = min(n, len(before))
             while shared < most and word[shared] == before[shared]:
                 shared += 1
-            del last[shared + 1 :], total[shared + 1 :]
-            for end in range(shared + 1, n + 1):
-                choice, value = "", 0.0
-                for start in range(max(0, end - longest), end):
-                    piece = word[start:end]
-                    k = ids.get(piece)
-                    if k is None and end - start > 1:
-                        continue
-                    if bpe:
-                        if not start:
-                            if k is None or len(piece) == 1 or self.merged(piece) == [piece]:
-                                choice = piece
-                                break
-                        elif follows(last[start], piece):
-                            choice = piece
-                            break
-                    else:
-                        x = total[start] + (scores[k] if k is not None else least)
-                        if not choice or x > value:
-                            choice, value = piece, x
-                last.append(choice)
-                total.append(value)
+            del last[shared + 1 :], start[shared + 1 :], total[shared + 1 :]
+            states(word, shared, last, start, total)
             out: list[int] = []
             end = n
-            back = []
             while end:
-                back.append(last[end])
-                end -= len(last[end])
-            for piece in reversed(back):
-                k = ids.get(piece)
-                out += [k] if k is not None else self.model.spell(piece)
-            self.memo[word] = np.array(out, "<u4").tobytes()
+                k = last[end]
+                if k >= 0:
+                    out.append(k)
+                else:
+                    out += reversed(spell(word[end - 1]))
+                end = start[end]
+            out.reverse()
+            memo[word] = struct.pack(f"<{len(out)}I", *out)
             before = word
 
+    def _merging(self, word: str, shared: int, last: list[int], start: list[int], total: list[float]) -> None:
+        back, pairs = self.back, self.pairs
+        for end in range(shared + 1, len(word) + 1):
+            node, i, choice, begin = back, end, -2, end - 1
+            while i:
+                step = node.get(word[i - 1])
+                if step is None:
+                    break
+                node, k = step
+                i -= 1
+                if k >= 0:
+                    p = last[i]
+                    ok = True if p == -2 else pairs.get(p << 24 | k)
+                    if ok is None:
+                        ok = self.follows(p, k)
+                    if ok:
+                        choice, begin = k, i
+                        break
+            last.append(choice)
+            start.append(begin)
+
+    def _summing(self, word: str, shared: int, last: list[int], start: list[int], total: list[float]) -> None:
+        back, scores, least = self.back, self.model.scores, self.model.least
+        for end in range(shared + 1, len(word) + 1):
+            node, i, choice, begin, best = back, end, -2, end - 1, total[end - 1] + least
+            if word[end - 1] in self.model.ids:
+                best = -math.inf
+            while i:
+                step = node.get(word[i - 1])
+                if step is None:
+                    break
+                node, k = step
+                i -= 1
+                if k >= 0 and total[i] + scores[k] > best:
+                    choice, begin, best = k, i, total[i] + scores[k]
+            last.append(choice)
+            start.append(begin)
+            total.append(best)
+
     def encode(self, texts: list[str]) -> list[bytes]:
-        cut = []
-        for text in texts:
-            marked = (MARK if self.model.dummy and text else "") + text.replace(" ", MARK)
-            cut.append(_WORD.findall(marked))
+        mark = MARK if self.model.dummy else ""
+        cut = [self.cut((mark if text else "") + text.replace(" ", MARK)) for text in texts]
         new = set().union(*cut) if cut else set()
         if len(self.memo) + len(new) > MEMO_WORDS:
             self.memo.clear()
@@ -187,6 +227,12 @@ class Encoder:
         return [b"".join(map(get, words)) for words in cut]
 
 
+@lru_cache(2)
+def _encoder(path: str) -> Encoder:
+    """A worker keeps what it has learned from task to task."""
+    return Encoder(path)
+
+
 class Decoder:
     def __init__(self, path: str):
         model = Model(path)
@@ -203,12 +249,9 @@ class Decoder:
 
 def encode(docs: DataFrame, path: str, text: str = "text", keep: list[str] | None = None) -> DataFrame:
     """The kept columns and the ids of each whole text, as little-endian 32-bit integers."""
-    encoders: list[Encoder] = []
 
     def make(column: pa.Array) -> list[pa.Array]:
-        if not encoders:
-            encoders.append(Encoder(path))
-        return [pa.array(encoders[0].encode([x or "" for x in column.to_pylist()]), pa.binary())]
+        return [pa.array(_encoder(path).encode([x or "" for x in column.to_pylist()]), pa.binary())]
 
     return map_text(docs, text, keep or ["doc_id"], make, "ids binary")
 
