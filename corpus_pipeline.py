@@ -28,9 +28,8 @@ def rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document of the smallest id stays of each group; a repeated row stays once."""
-    found = neardup.near_duplicates(docs).where("kept").select(F.col("doc_id").alias("_stays"))
-    return docs.join(found, docs["doc_id"].eqNullSafe(F.col("_stays")), "left_semi").dropDuplicates(["doc_id"])
+    """The row of the smallest id stays of each group (null last, then by text); ids may be null or repeated."""
+    return neardup.one_of_each(docs)
 
 
 def suffix_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

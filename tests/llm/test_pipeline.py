@@ -31,3 +31,14 @@ def test_stages(spark, sf_dir, tmp_path):
 
 def test_run(spark, sf_dir):
     assert corpus_pipeline.run(spark, sf_dir).count() > 0
+
+
+def test_near_dedup_keeps_one_row_of_each_group_whatever_the_ids(spark):
+    words = [" ".join(f"w{i}x{j}" for j in range(60)) for i in range(6)]
+    rows = [(None, words[0]), (None, words[1]), (None, words[1]), (None, words[2]), (7, words[3]), (7, words[3]), (7, words[4]), (7, words[5])]
+    rows += [(3, words[4] + " tail"), (None, words[5] + " tail"), (9, ""), (9, " "), (None, None)]
+    docs = spark.createDataFrame([(i, t, "en", "web", len(t or "")) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    got = corpus_pipeline.near_dedup(spark, docs, "")
+    assert got.columns == COLUMNS
+    want = [(None, words[0]), (None, words[1]), (None, words[2]), (7, words[3]), (3, words[4] + " tail"), (7, words[5]), (9, ""), (9, " "), (None, None)]
+    assert sorted(map(str, ((r.doc_id, r.text) for r in got.collect()))) == sorted(map(str, want))

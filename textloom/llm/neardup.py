@@ -116,8 +116,8 @@ def _sketches(k: int):
                 regs.append(r.tobytes())
                 bands.append(key.view(np.int64))
             yield pa.RecordBatch.from_arrays(
-                [batch.column("id"), pa.array(node, pa.int64()), pa.array(n, pa.int64()), pa.array(regs, pa.binary()), pa.array(bands, pa.list_(pa.int64()))],
-                names=["id", "node", "n", "regs", "bands"],
+                [batch.column("id"), batch.column("key"), pa.array(node, pa.int64()), pa.array(n, pa.int64()), pa.array(regs, pa.binary()), pa.array(bands, pa.list_(pa.int64()))],
+                names=["id", "key", "node", "n", "regs", "bands"],
             )
 
     return run
@@ -251,19 +251,20 @@ def components(scratch: Scratch, links: DataFrame, name: str) -> DataFrame:
             return labels
 
 
-def near_duplicates(docs: DataFrame, text: str = "text", ids: str = "doc_id", percent: int = 75, k: int = 5) -> DataFrame:
-    """Per row: its id, n_shingles, component_id and kept (its id is the component's)."""
+def _classes(docs: DataFrame, text: str, ids: str, percent: int, k: int) -> tuple[DataFrame, DataFrame]:
+    """The rows (id, key of the text, node, n) and the nodes with their component's first row: by id, null last, then key."""
     if percent < 75 or k < 1:
         raise ValueError("bands and the register estimate are laid out for similarities of 75 per cent or more")
     spark = docs.sparkSession
     small_batches(spark)
     scratch = Scratch(spark, "neardup")
-    base = docs.select(docs[ids].alias("id"), docs[text].alias("text"))
+    base = docs.select(docs[ids].alias("id"), F.xxhash64(docs[text]).alias("key"), docs[text].alias("text"))
     kind = dict(base.dtypes)["id"]
-    rows = scratch.write(base.mapInArrow(_sketches(k), f"id {kind}, node long, n long, regs binary, bands array<long>"), "rows")
+    rows = scratch.write(base.mapInArrow(_sketches(k), f"id {kind}, key long, node long, n long, regs binary, bands array<long>"), "rows")
     # equal sets are one node
+    row = F.struct(F.col("id").isNull().alias("none"), "id", "key")
     nodes = scratch.write(
-        rows.where("node is not null").groupBy("node").agg(F.min("id").alias("one"), F.first("n").alias("n"), F.first("regs").alias("regs"), F.first("bands").alias("bands")), "nodes"
+        rows.where("node is not null").groupBy("node").agg(F.min(row).alias("one"), F.first("n").alias("n"), F.first("regs").alias("regs"), F.first("bands").alias("bands")), "nodes"
     )
     keys = nodes.select("node", "n", F.explode("bands").alias("key"))
     shared = keys.groupBy("key").agg(F.count("*").alias("many")).where("many > 1")
@@ -271,7 +272,8 @@ def near_duplicates(docs: DataFrame, text: str = "text", ids: str = "doc_id", pe
     degree = members.groupBy("node").agg(F.sum("many").alias("degree"))
     centre = members.join(degree, "node").groupBy("key").agg(F.max(F.struct("degree", "node")).getField("node").alias("centre"))
     known = scratch.write(nodes.join(members.select("node").distinct(), "node").select("node", "one", "n", "regs"), "known")
-    texts = base.join(known.select("node", "one"), F.col("id").eqNullSafe(F.col("one"))).select("node", "text")
+    # by id and text: neither copies under many ids nor many texts under one id or null meet in one place
+    texts = base.join(known.select("node", "one"), F.col("id").eqNullSafe(F.col("one.id")) & (F.col("key") == F.col("one.key"))).select("node", "text")
     sets = scratch.write(texts.mapInArrow(_sets(k), "node long, hashes binary").dropDuplicates(["node"]), "sets")
     free_shuffles(spark)
 
@@ -311,10 +313,28 @@ def near_duplicates(docs: DataFrame, text: str = "text", ids: str = "doc_id", pe
     groups = labels.join(nodes.select("node", "one"), "node")
     least = groups.groupBy("comp").agg(F.min("one").alias("least"))
     found = groups.join(least, "comp").select("node", "least")
-    classes = scratch.write(nodes.select("node", "one").join(found, "node", "left").select("node", F.coalesce("least", "one").alias("component_id")), "classes")
+    first = F.coalesce("least", "one")
+    classes = scratch.write(nodes.select("node", "one").join(found, "node", "left").select("node", first.alias("first"), (first == F.col("one")).alias("stays")), "classes")
     free_shuffles(spark)
-    out = rows.select("id", "n", "node").join(classes, "node", "left")
+    return rows, classes
+
+
+def near_duplicates(docs: DataFrame, text: str = "text", ids: str = "doc_id", percent: int = 75, k: int = 5) -> DataFrame:
+    """Per row: its id, n_shingles, component_id and kept (its id is the component's)."""
+    rows, classes = _classes(docs, text, ids, percent, k)
+    out = rows.select("id", "n", "node").join(classes.select("node", F.col("first.id").alias("component_id")), "node", "left")
     component = F.when(F.col("node").isNull(), F.col("id")).otherwise(F.col("component_id"))
     return out.select(
         F.col("id").alias(ids), F.col("n").alias("n_shingles"), component.alias("component_id"), F.col("id").eqNullSafe(component).alias("kept")
     )
+
+
+def one_of_each(docs: DataFrame, text: str = "text", ids: str = "doc_id", percent: int = 75, k: int = 5) -> DataFrame:
+    """One whole row of each component, whatever ids are null or repeated, and every row without words."""
+    _, classes = _classes(docs, text, ids, percent, k)
+    stays = classes.where("stays").select(F.col("first.id").alias("_id"), F.col("first.key").alias("_first"))
+    words = F.coalesce(docs[text], F.lit("")).rlike(r"[^ \x09-\x0D]")
+    rows = docs.where(words).withColumn("_key", F.xxhash64(docs[text]))
+    # rows equal in id and text are one component
+    kept = rows.join(stays, rows[ids].eqNullSafe(F.col("_id")) & (F.col("_key") == F.col("_first")), "left_semi").dropDuplicates([ids, "_key"])
+    return kept.drop("_key").union(docs.where(~words))
