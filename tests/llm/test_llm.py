@@ -166,6 +166,17 @@ def test_language_identification(spark):
     assert {r.lang_pred for r in langid.predict(docs, {}).collect()} == {"und"}
 
 
+def test_languages_are_learned_from_whole_texts(spark):
+    rng = random.Random(9)
+    words = {"xx": ["kala", "muno", "tiri", "sodo"], "yy": ["brzk", "strom", "vlkan", "chrp"]}
+    header = "licence wording " * 100
+    rows = [(i, header + " ".join(rng.choices(words[lang], k=30)), lang) for i in range(60) for lang in [("xx", "yy")[i % 2]]]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    held = spark.createDataFrame([(500 + i, " ".join(words[lang])) for i, lang in enumerate(("xx", "yy"))], "doc_id long, text string")
+    got = {r.doc_id: r for r in langid.predict(held, langid.learn(docs)).collect()}
+    assert [got[i].lang_pred for i in (500, 501)] == ["xx", "yy"] and all(r.score > 0.3 for r in got.values())
+
+
 def test_suffix_automaton_takes_longest_phrases():
     rng = random.Random(6)
     text = "".join(rng.choices("abc", k=60))

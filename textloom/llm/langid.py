@@ -1,7 +1,7 @@
 """Language identification by cross-parsing entropy with suffix automata.
 
-For each language a bounded sample of labelled text becomes a suffix automaton, which recognises all substrings of the
-sample. A text is parsed greedily into the longest phrases that the automaton knows; the language that needs the fewest
+For each language the words of a bounded sample of whole labelled texts become a suffix automaton, which recognises all
+substrings of the sample that hold no inner space: phrases never do, so each distinct word need stand in it only once. A text is parsed greedily into the longest phrases that the automaton knows; the language that needs the fewest
 phrases for a letter wins, ties to the smaller name. Phrases end at word ends, so a word's phrase counts are found once
 for each distinct word of a batch and summed over its occurrences: whole texts count, whatever their length.
 
@@ -20,8 +20,8 @@ from pyspark.sql import functions as F
 from .kernels import Rolling, buffers, ranges
 from .stats import map_text
 
-#: The sample of a language: so many documents (chosen by a hash of the id), so many characters of each.
-SAMPLE_DOCS, SAMPLE_CHARS, FOLDS, HELD_OUT = 48, 1200, 3, 1
+#: The sample of a language: so many whole documents, chosen by a hash of the id.
+SAMPLE_DOCS, FOLDS, HELD_OUT = 48, 3, 1
 MEMO_WORDS = 400_000
 _LETTER = np.ones(256, bool)
 _LETTER[:128] = [chr(c).isalpha() for c in range(128)]
@@ -84,14 +84,15 @@ def learn(docs: DataFrame, text: str = "text", lang: str = "lang", ids: str = "d
     """Automata by language, from documents outside the held-out fold."""
     held = F.crc32(F.col(ids).cast("string")) % FOLDS == HELD_OUT
     rows = docs.where(F.col(ids).isNotNull() & F.col(lang).isNotNull() & F.col(text).isNotNull() & ~held)
-    rows = rows.select(F.col(lang).alias("lang"), F.substring(text, 1, SAMPLE_CHARS).alias("text"), F.xxhash64(ids).alias("at"), F.col(ids).alias("id"))
-    # the rank filter becomes a limit per language before the shuffle
-    turn = F.row_number().over(Window.partitionBy("lang").orderBy("at", "id"))
-    got: dict[str, list[str]] = {}
-    for row in rows.withColumn("turn", turn).where(F.col("turn") <= SAMPLE_DOCS).orderBy("lang", "turn").collect():
-        words = [normal(w) for w in row.text.split()]
-        got.setdefault(row.lang, []).append(" ".join(w for w in words if w))
-    return {k: SuffixAutomaton(" " + " ".join(v) + " ") for k, v in sorted(got.items())}
+    rows = rows.select(F.col(lang).alias("lang"), F.col(text).alias("text"), F.xxhash64(ids).alias("at"), F.col(ids).alias("id"), F.xxhash64(text).alias("key"))
+    # the rank filter becomes a limit per language before the shuffle; texts are read again, for the chosen rows only
+    turn = F.row_number().over(Window.partitionBy("lang").orderBy("at", "id", "key"))
+    chosen = rows.drop("text").withColumn("turn", turn).where(F.col("turn") <= SAMPLE_DOCS).select("lang", "id", "key")
+    texts = rows.join(F.broadcast(chosen), ["lang", "id", "key"], "left_semi").dropDuplicates(["lang", "id", "key"])
+    got: dict[str, set[str]] = {}
+    for row in texts.select("lang", "text").toLocalIterator():
+        got.setdefault(row.lang, set()).update(normal(w) for w in row.text.split())
+    return {k: SuffixAutomaton(" " + " ".join(sorted(v - {""})) + " ") for k, v in sorted(got.items())}
 
 
 class Parser:
