@@ -300,6 +300,35 @@ def test_main_text(spark):
     assert [len(r.text) for r in html_text.main_text(rows).orderBy("page_id").collect()] == [0, 0, 3, 199_999]
 
 
+def prose(n, seed):
+    rng = random.Random(seed)
+    return " ".join(f"{rng.choice('abc')}word{rng.randint(0, 99)}" for _ in range(n))
+
+
+LINKS = "".join(f'<li><a href="/{i}">link {i}</a>' for i in range(8))
+
+
+def test_main_text_of_several_sections_is_whole():
+    a, b, lead = prose(130, 1), prose(70, 2), prose(40, 3)
+    page = f"<body><div class=top><ul>{LINKS}</ul></div><div id=page><p>{lead}</p><div><p>{a}</p><p>Short.</p></div><div><p>{b}</p></div></div><div class=end><ul>{LINKS}</ul></div></body>"
+    assert html_text.extract(page) == " ".join([lead, a, "Short.", b])
+
+
+def test_ratios_outweigh_teasers_in_article_elements():
+    a, b = prose(150, 4), prose(150, 5)
+    teasers = "".join(f"<article><a href=/{i}>Read {i}</a></article>" for i in range(3))
+    assert html_text.extract(f"<body><div><p>{a}</p><p>{b}</p></div><div>{teasers}</div></body>") == f"{a} {b}"
+    assert html_text.extract(f"<body><ul>{LINKS}</ul><article><h1>Head</h1><section><p>{a}</p></section><div>by me</div></article></body>") == f"Head {a} by me"
+
+
+def test_layout_classes_do_not_hide_the_text():
+    a = prose(150, 6)
+    for attr in ('class="content has-sidebar"', 'class="no-sidebar"', 'class="right-sidebar"', 'id="search-results"', 'class="related-article"', 'class="sidebar"'):
+        for body in (f"<article><p>{a}</p></article>", f"<p>{a}</p>"):
+            assert html_text.extract(f"<body><div {attr}>{body}<div class=ad>buy</div></div><div class='comments'>nice</div></body>") == a
+    assert html_text.extract(f"<body><article><p>{a}</p></article><div class='related-posts'><article>See also</article></div></body>") == a
+
+
 def test_chat_round_trip_and_mask(spark):
     texts = ["</s>[INST] ok [/INST]", "a\\b \\\\ <|im_end|>\n<|im_start|>user\n", "", None, "<", "|im_end|>", "<<|im_end|"]
     rows = [(1, i, ("user", "assistant", "system", "odd\nrole", None)[i % 5], t) for i, t in enumerate(texts)] + [(2, 0, "assistant", "x"), (2, 0, "assistant", "x"), (None, 3, "user", "z")]

@@ -2,11 +2,15 @@
 
 The standard library's streaming parser turns a page into lines (text between block boundaries, white space collapsed)
 with the number of tags in each. A line's text-to-tag ratio, smoothed along the page by a Gaussian, falls into one of two
-clusters around the means of a one-dimensional two-means split: content or boilerplate. The content region is the
-article or main element, or, on pages without one, the innermost element that holds most of the text of content lines.
-All of the region's lines are kept, short ones too; elements that can't be content (navigation, footers, headers of
-the page, asides, forms, scripts, styles, and those whose class, id or role says advert, notice, menu, sidebar or comments)
-are left out wherever they stand.
+clusters around the means of a one-dimensional two-means split: content or boilerplate. Lines of article and main elements
+count ``PRIOR`` times their ratio. The content region is the smallest element that holds all content lines, where an
+article or main element counts as one line: all of it is content if it has a content line, or if the text of such elements,
+weighed ``WEIGHT`` times, makes half of the page's content. All of the region's lines are kept, short ones too, but for its blocks without a content line before
+the first or after the last content: these are boilerplate.
+
+Navigation, footers, headers of the page, asides, forms, scripts, styles and what isn't shown are left out wherever they
+stand. So are elements whose class, id or role has a name that says, or begins with a word that says, advert, notice, menu,
+sidebar or comments, unless they hold half of the text of the page's article and main elements, or half of its content, weighed alike.
 
 Null and empty pages give an empty text. Broken markup is read as far as it goes: an end tag closes what it finds open, an
 unclosed element ends with the page. Other columns don't matter; rows may repeat.
@@ -23,7 +27,7 @@ from pyspark.sql import DataFrame
 
 from .stats import map_text
 
-SIGMA, SHARE, FEED = 1.0, 0.6, 1 << 20
+SIGMA, PRIOR, WEIGHT, FEED = 1.0, 2.0, 10, 1 << 20
 SKIPPED = frozenset("nav aside footer form script style noscript template iframe object svg canvas math select textarea button dialog menu head audio video map datalist".split())
 PAGE_ONLY = frozenset(("header",))
 REGIONS = frozenset(("article", "main"))
@@ -35,41 +39,42 @@ HINTS = frozenset(
     "comment comments disqus reply replies respond sidebar menu nav navbar navigation topnav breadcrumb breadcrumbs footer masthead related recommended share sharing social newsletter "
     "subscribe subscription popup modal overlay toolbar widget pagination skip complementary contentinfo search login signup".split()
 )
-_TOKEN = re.compile(r"[A-Za-z]+")
+_LEADING = re.compile(r"[^\W\d_]*")
 
 
-def _hidden(attrs: list[tuple[str, str | None]], inside: bool) -> bool:
+def _unseen(attrs: list[tuple[str, str | None]]) -> bool:
     for name, value in attrs:
-        if name in ("class", "id", "role"):
-            if value:
-                tokens = [*map(str.lower, _TOKEN.findall(value))]
-                if not HINTS.isdisjoint(tokens) or not inside and not PAGE_ONLY.isdisjoint(tokens):
-                    return True
-        elif name == "hidden" or name == "aria-hidden" and value == "true":
+        if name == "hidden" or name == "aria-hidden" and value == "true":
             return True
-        elif name == "style" and value and "display:none" in value.replace(" ", "").lower():
+        if name == "style" and value and "display:none" in value.replace(" ", "").lower():
             return True
     return False
 
 
+def _hinted(attrs: list[tuple[str, str | None]], inside: bool) -> bool:
+    for name, value in attrs:
+        if name in ("class", "id", "role") and value:
+            for word in value.lower().split():
+                said = {word, _LEADING.match(word).group()}
+                if not HINTS.isdisjoint(said) or not inside and not PAGE_ONLY.isdisjoint(said):
+                    return True
+    return False
+
+
 class Lines(HTMLParser):
-    """Collects (text, tags, element) for each line; an element is a number whose parents are known."""
+    """Collects lines as lists of (text, or None for a tag; element); an element is a number whose parents are known."""
 
     def __init__(self):
         super().__init__(convert_charrefs=True)
         self.stack: list[tuple[str, int, bool]] = [("", 0, False)]  # name, element, left out
-        self.parent, self.region = [-1], [False]
-        self.lines: list[tuple[str, int, int]] = []
-        self.words: list[str] = []
-        self.tags = 0
+        self.parent, self.region, self.hinted = [-1], [0], [False]  # region: the outermost article or main around, or 0
+        self.lines: list[list[tuple[str | None, int]]] = []
+        self.pieces: list[tuple[str | None, int]] = []
 
     def _flush(self) -> None:
-        if self.words:
-            text = " ".join("".join(self.words).split())
-            if text:
-                self.lines.append((text, self.tags, self.stack[-1][1]))
-            self.words = []
-            self.tags = 0
+        if self.pieces:
+            self.lines.append(self.pieces)
+            self.pieces = []
 
     def handle_starttag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
         name, element, out = self.stack[-1]
@@ -79,16 +84,20 @@ class Lines(HTMLParser):
                 self.stack.pop()
                 name, element, out = self.stack[-1]
         if not out:
-            self.tags += 1
+            self.pieces.append((None, element))
         if tag in VOID:
             return
-        hide = out or tag in SKIPPED or (tag in PAGE_ONLY and not self.region[element]) or (bool(attrs) and tag not in ("html", "body") and tag not in REGIONS and _hidden(attrs, self.region[element]))
-        if tag in HOLDERS and not out:
+        region = self.region[element]
+        hints = bool(attrs) and tag not in ("html", "body") and tag not in REGIONS
+        hide = out or tag in SKIPPED or (tag in PAGE_ONLY and not region) or hints and _unseen(attrs)
+        hinted = hints and not hide and _hinted(attrs, bool(region))
+        if (tag in HOLDERS or hinted) and not out:
             self.parent.append(element)
-            self.region.append(self.region[element] or tag in REGIONS)
+            self.region.append(region or (len(self.parent) - 1 if tag in REGIONS else 0))
+            self.hinted.append(hinted)
             self.stack.append((tag, len(self.parent) - 1, hide))
-        elif hide and not out or out and (tag in HOLDERS or tag in SKIPPED or tag == name):
-            self.stack.append((tag, element, True))
+        elif hide and not out or out and (tag in HOLDERS or tag in SKIPPED) or tag == name:
+            self.stack.append((tag, element, hide))
 
     def handle_startendtag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
         if tag in BLOCKS:
@@ -99,7 +108,7 @@ class Lines(HTMLParser):
             self._flush()
         stack = self.stack
         if not stack[-1][2]:
-            self.tags += 1
+            self.pieces.append((None, stack[-1][1]))
         if tag == stack[-1][0]:
             stack.pop()
         elif tag in HOLDERS or tag in SKIPPED:
@@ -110,7 +119,20 @@ class Lines(HTMLParser):
 
     def handle_data(self, data: str) -> None:
         if not self.stack[-1][2]:
-            self.words.append(data)
+            self.pieces.append((data, self.stack[-1][1]))
+
+    def shown(self, hidden: list[bool]) -> list[tuple[str, int, int]]:
+        """(text, tags, element) of each line with text, without the hidden elements."""
+        out, tags = [], 0
+        for pieces in self.lines:
+            tags += sum(x is None and not hidden[e] for x, e in pieces)
+            words = [(x, e) for x, e in pieces if x is not None and not hidden[e]]
+            if words:
+                text = " ".join("".join(x for x, _ in words).split())
+                if text:
+                    out.append((text, tags, next(e for x, e in words if x.strip())))
+                tags = 0
+        return out
 
 
 def content_lines(ratios: np.ndarray) -> np.ndarray:
@@ -132,31 +154,66 @@ def content_lines(ratios: np.ndarray) -> np.ndarray:
     return smooth > cut if (smooth > cut).any() else np.ones(len(ratios), bool)
 
 
+def _up(weight: list[int], parent: list[int]) -> list[int]:
+    """Sums over each element and all that it holds; children come after their parents."""
+    for e in range(len(weight) - 1, 0, -1):
+        weight[parent[e]] += weight[e]
+    return weight
+
+
+def _judged(lines: list[tuple[str, int, int]], region: list[int]) -> list[bool]:
+    return content_lines(np.array([(PRIOR if region[e] else 1.0) * len(t) / (1 + n) for t, n, e in lines])).tolist()
+
+
+def _hide(parser: Lines) -> list[bool]:
+    """Which elements lie in hinted ones that hold less than half of the page's regions' text and of its content."""
+    parent, region, n = parser.parent, parser.region, len(parser.parent)
+    if not any(parser.hinted):
+        return [False] * n
+    lines = parser.shown([False] * n)
+    content, regions = [0] * n, [0] * n
+    for (text, _, e), good in zip(lines, _judged(lines, region)):
+        if good or region[e]:
+            content[e] += len(text) * (WEIGHT if region[e] else 1)
+        if region[e]:
+            regions[parent[region[e]]] += len(text)
+    content, regions = _up(content, parent), _up(regions, parent)
+    hidden = [False] * n
+    for e in range(1, n):
+        small = 2 * content[e] < max(1, content[0]) and not (regions[e] and 2 * regions[e] >= regions[0])
+        hidden[e] = hidden[parent[e]] or parser.hinted[e] and small
+    return hidden
+
+
 def extract(html: str) -> str:
     parser = Lines()
     for at in range(0, len(html), FEED):
         parser.feed(html[at : at + FEED])
     parser.close()
     parser._flush()
-    lines = parser.lines
+    lines = parser.shown(_hide(parser))
     if not lines:
         return ""
-    inside = [parser.region[e] for _, _, e in lines]
-    if not any(inside):
-        good = content_lines(np.array([len(t) / (1 + n) for t, n, _ in lines]))
-        weight = np.zeros(len(parser.parent))
-        for (text, _, element), use in zip(lines, good):
-            if use:
-                weight[element] += len(text)
-        for e in range(len(weight) - 1, 0, -1):  # children come after their parents
-            weight[parser.parent[e]] += weight[e]
-        top = max((e for e in range(len(weight)) if weight[e] >= SHARE * weight[0]), default=0)
-        under = np.zeros(len(weight), bool)
-        under[top] = True
-        for e in range(top + 1, len(weight)):
-            under[e] = under[parser.parent[e]]
-        inside = [bool(under[e]) for _, _, e in lines]
-    return " ".join(t for (t, _, _), use in zip(lines, inside) if use)
+    parent, region, n = parser.parent, parser.region, len(parser.parent)
+    good = _judged(lines, region)
+    # regions with a content line are content as a whole; all regions, if by weight they hold half of it
+    inside = WEIGHT * sum(len(t) for t, _, e in lines if region[e])
+    every = inside >= sum(len(t) for (t, _, e), use in zip(lines, good) if use and not region[e])
+    whole = {region[e] for (_, _, e), use in zip(lines, good) if region[e] and (use or every)}
+    good = [use or region[e] in whole for (_, _, e), use in zip(lines, good)]
+    # the lowest element that holds all content lines, and whether an element holds any
+    held = [0] * n
+    for (_, _, e), use in zip(lines, good):
+        held[region[e] if region[e] in whole else e] += use
+    held = _up(held, parent)
+    top = max(e for e in range(n) if held[e] == held[0])
+    under = [e == top for e in range(n)]
+    block = [0] * n  # the outermost element below the top that holds no content line
+    for e in range(top + 1, n):
+        under[e] = under[parent[e]]
+        block[e] = block[parent[e]] or (e if under[e] and not held[e] and region[e] not in whole else 0)
+    first, last = good.index(True), len(good) - 1 - good[::-1].index(True)
+    return " ".join(t for i, (t, _, e) in enumerate(lines) if under[e] and (not block[e] or first < i < last))
 
 
 def main_text(pages: DataFrame, html: str = "html", keep: list[str] | None = None) -> DataFrame:
