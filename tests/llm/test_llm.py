@@ -53,6 +53,16 @@ def test_difference_covers():
     assert repeats.cover_for(200)[0] == 133 and repeats.cover_for(1)[0] == 1
 
 
+def test_whole_strings_are_compared_by_all_bits(monkeypatch):
+    import pyarrow as pa
+
+    # two strings whose hashes differ in the highest byte only
+    monkeypatch.setattr(repeats.Rolling, "windows", lambda self, sums, s, e: np.array([1, 1 | 1 << 60], np.uint64)[s % 2])
+    batch = pa.RecordBatch.from_pydict({"text": ["x" * 201], "key": [5], "deltas": [repeats.planes(np.array([1]), 4)]})
+    tables = pa.Table.from_batches(repeats._candidates(200, 1, 1)([batch]))
+    assert repeats._settle(1)(tables).num_rows == 0
+
+
 def near_brute(texts, percent=75):
     sets = []
     for t in texts:

@@ -229,7 +229,7 @@ def _candidates(length: int, blocks: int, buckets: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         v, _ = cover_for(length)
-        roll, packer = Rolling(23), _Packer(blocks, buckets, 7)
+        roll, packer = Rolling(23), _Packer(blocks, buckets, 8)
         for batch in batches:
             data, off = buffers(batch.column("text"))
             keys = batch.column("key").to_numpy(zero_copy_only=False)
@@ -246,7 +246,7 @@ def _candidates(length: int, blocks: int, buckets: int):
                     s = at[np.searchsorted(at, a) : np.searchsorted(at, a + CHUNK)]
                     if len(s):
                         sums = roll.sums(text[a : a + CHUNK + length])
-                        packer.add(roll.windows(sums, s - a, s - a + length) & U64(0xFFFFFFFFFFFFFF), np.full(len(s), keys[i]), s)
+                        packer.add(roll.windows(sums, s - a, s - a + length), np.full(len(s), keys[i]), s)
                         if packer.n >= FLUSH_POSITIONS:
                             yield from packer.rows()
         yield from packer.rows()
