@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .kernels import LOWER, U64, Rolling, buffers, mix, ranges, shingles, word_bounds
+from .kernels import LOWER, U64, buffers, digests, mix, ranges, shingles, word_bounds
 from .scratch import Scratch, free_shuffles, small_batches
 
 REGISTERS, BANDS, MANTISSA = 240, 48, 10
@@ -41,18 +41,15 @@ LEAST_ESTIMATE = 0.6
 
 def shingle_sets(data: np.ndarray, off: np.ndarray, k: int) -> Iterator[np.ndarray]:
     """The ascending distinct shingle hashes of each text, A-Z lower-cased."""
-    roll = _ROLL
     for i, j in ranges(off):
         part, o = LOWER[data[off[i] : off[j]]], off[i : j + 1] - off[i]
         s, e, cut = word_bounds(part, o)
-        words = roll.windows(roll.sums(part), s, e) if len(s) else np.zeros(0, U64)
-        h, at = shingles(words, cut, k)
+        h, at = shingles(digests(part, s, e), cut, k)
         for a, b in zip(at[:-1].tolist(), at[1:].tolist()):
             x = np.sort(h[a:b])
             yield x[np.concatenate([[True], x[1:] != x[:-1]])] if len(x) else x
 
 
-_ROLL = Rolling(5)
 _SEEDS = mix(np.arange(1, 2 * REGISTERS + 1, dtype=np.uint64) * U64(0x9E3779B97F4A7C15))
 
 

@@ -1,20 +1,25 @@
-"""Removal of long repeated byte strings, by difference-cover samples sorted block by block.
+"""Removal of long repeated byte strings, by difference-cover samples settled block by block.
 
-A byte goes if a string of ``length`` bytes that covers it also starts anywhere else in the corpus. Equality of such
-strings is all that is asked of the suffix order, so suffixes are put in order by hashes of their windows.
+A byte goes if a string of ``length`` bytes that covers it also starts anywhere else in the corpus.
 
 1. Sample. A difference cover D modulo v has, for any two positions p and q, an offset d < v with p + d and q + d both
    in D. Two equal strings of ``length`` bytes therefore hold equal windows of ``length - v + 1`` bytes that start at
    sampled positions. Only these windows (|D| / v of all positions) are hashed and dealt into blocks by hash; a block is
    sorted alone, and gives the samples whose rank is shared.
 2. Ties. Only positions less than v before a shared sample can start a repeated string. Their whole strings are hashed
-   and dealt into blocks again; sorting a block settles which are repeated.
+   again, to ``STRING_BYTES`` bytes (86 bits of three polynomials over a prime field), and dealt into blocks; sorting a
+   block settles which are repeated.
 3. Removal. Each text meets its repeated positions again, and the bytes they cover are cut.
 
+Blocks are ranges of hashes, not of suffixes: a suffix bucket would have to hold 200 bytes for each of its positions, or
+the text around each of its samples, and a bucket of a passage that a third of all texts share can't be split by order.
+With n different strings about n**2 / 2**87 pairs are taken for equal by mistake: 1e-7 at 30 GB, five at 100 TB.
+
 Rows travel as packed arrays, a few bytes for each position. Equal texts count as one in steps 1 and 2 (a text that
-occurs twice is repeated as a whole), and a mapper sends a window that it holds several times only once, so a passage in
-a third of all texts is no hot key. Memory: one flush of ``FLUSH`` bytes in a mapper, one block in a reducer; the number
-of blocks is twice ``spark.sql.shuffle.partitions``.
+occurs twice is repeated as a whole; texts with one key are held against each other by 240 bits of SHA-256, and keys are
+drawn anew if two texts share one), and a mapper sends a window that it holds several times only once, so a passage in
+a third of all texts is no hot key. Memory: one flush of ``FLUSH`` bytes in a mapper, one block in a reducer; there is a
+block for each ``BLOCK_BYTES`` of all texts, so a block doesn't grow with the corpus.
 
 Null texts are empty. Rows that are equal in id and text get equal results; ids may be null or repeated; an empty table
 gives an empty result; columns other than the id and the text don't matter.
@@ -42,6 +47,9 @@ COVERS = {
 }
 FLUSH = 16 << 20
 FLUSH_POSITIONS = 1_500_000
+BLOCK_BYTES, BUCKET_BYTES = 8 << 20, 32 << 20
+#: Hash bytes of a whole string, of which ``CHECK_BYTES`` are those of a polynomial of their own.
+STRING_BYTES, CHECK_BYTES = 11, 3
 _PACKED = "block int, hashes binary, keys binary, counts binary, deltas binary, width int"
 _FOUND = "bucket int, keys binary, counts binary, deltas binary"
 _POSITIONS = "key long, deltas binary"
@@ -101,46 +109,59 @@ def decode(deltas: bytes | None) -> np.ndarray:
     return np.cumsum(unplanes(deltas, 4).astype(np.int64)) if deltas else np.zeros(0, np.int64)
 
 
+def _grouped(h: np.ndarray, check: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """An order in which equal hashes stand together, and where in it another hash than the one before begins."""
+    order = np.argsort(h, kind="stable")
+    a, c = h[order], check[order]
+    new = np.concatenate([[True], a[1:] != a[:-1]])
+    if len(a) and (~new & np.concatenate([[False], c[1:] != c[:-1]])).any():
+        order = np.lexsort((check, h))
+        a, c = h[order], check[order]
+        new = np.concatenate([[True], (a[1:] != a[:-1]) | (c[1:] != c[:-1])])
+    return order, new
+
+
 class _Packer:
-    """Gathers (hash, key, position) and gives rows for blocks, with what repeats within the flush settled at once."""
+    """Gathers (hash, check, key, position) and gives rows for blocks, with what repeats within the flush settled at once."""
 
     def __init__(self, blocks: int, buckets: int, width: int):
         self.blocks, self.buckets, self.width = blocks, buckets, width
-        self.parts: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+        self.parts: list[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]] = []
         self.n = 0
 
-    def add(self, h: np.ndarray, key: np.ndarray, pos: np.ndarray) -> None:
+    def add(self, h: np.ndarray, key: np.ndarray, pos: np.ndarray, check: np.ndarray | None = None) -> None:
         if len(h):
-            self.parts.append((h, key, pos))
+            self.parts.append((h, np.zeros(len(h), np.uint32) if check is None else check, key, pos))
             self.n += len(h)
 
     def rows(self) -> Iterator[pa.RecordBatch]:
         if not self.n:
             return
-        h, key, pos = (np.concatenate(x) for x in zip(*self.parts))
+        h, check, key, pos = (np.concatenate(x) for x in zip(*self.parts))
         self.parts, self.n = [], 0
-        order = np.argsort(h, kind="stable")
-        h, key, pos = h[order], key[order], pos[order]
+        order, new = _grouped(h, check)
+        h, check, key, pos = h[order], check[order], key[order], pos[order]
         del order
-        new = np.concatenate([[True], h[1:] != h[:-1]])
         shared = ~new
         shared[:-1] |= ~new[1:]
         out: list[tuple] = []
         if shared.any():
             # those found here travel with the block of their keys' number, as rows without hashes
             out += [(b, None, k, n, d, 0) for b, k, n, d in _by_bucket(key[shared], pos[shared], self.buckets)]
-        h, key, pos = h[new], key[new], pos[new]
+        h, check, key, pos = h[new], check[new], key[new], pos[new]
         block = (mix(h) % U64(self.blocks)).astype(np.int32)
         order = np.lexsort((pos, key, block))
-        h, key, pos, block = h[order], key[order], pos[order], block[order]
+        h, check, key, pos, block = h[order], check[order], key[order], pos[order], block[order]
         run = np.concatenate([[True], (block[1:] != block[:-1]) | (key[1:] != key[:-1])])
         first = np.flatnonzero(run)
         d = _deltas(pos, first)
         count = np.diff(np.append(first, len(h)))
         cut = np.flatnonzero(np.concatenate([[True], block[1:] != block[:-1]]))
+        plain = min(self.width, 8)
         for a, b in zip(cut.tolist(), np.append(cut[1:], len(h)).tolist()):
             i, j = np.searchsorted(first, [a, b])
-            out.append((int(block[a]), planes(h[a:b], self.width), key[first[i:j]].tobytes(), planes(count[i:j], 4), planes(d[a:b], 4), self.width))
+            hashes = planes(h[a:b], plain) + planes(check[a:b], self.width - plain)
+            out.append((int(block[a]), hashes, key[first[i:j]].tobytes(), planes(count[i:j], 4), planes(d[a:b], 4), self.width))
         for i in range(0, len(out), 1000):
             cols = list(zip(*out[i : i + 1000]))
             kinds = (pa.int32(), pa.binary(), pa.binary(), pa.binary(), pa.binary(), pa.int32())
@@ -150,24 +171,28 @@ class _Packer:
 def _settle(buckets: int):
     def run(table: pa.Table) -> pa.Table:
         """One block: the (key, position) whose hash has another (key, position), packed by buckets of keys."""
-        hs, ks, ps, out = [], [], [], []
+        hs, cs, ks, ps, out = [], [], [], [], []
         cols = [table.column(c).to_pylist() for c in ("block", "hashes", "keys", "counts", "deltas", "width")]
         for block, hashes, keys, counts, deltas, width in zip(*cols):
             if hashes is None:
                 out.append((block, keys, counts, deltas))
                 continue
             k, p = _flat(keys, counts, deltas)
-            hs.append(unplanes(hashes, width)), ks.append(k), ps.append(p)
+            plain = min(width, 8)
+            hs.append(unplanes(hashes[: plain * len(k)], plain)), ks.append(k), ps.append(p)
+            cs.append(unplanes(hashes[plain * len(k) :], width - plain).astype(np.uint32) if width > plain else np.zeros(len(k), np.uint32))
         del cols
         if hs:
-            h, k, p = np.concatenate(hs), np.concatenate(ks), np.concatenate(ps)
-            del hs, ks, ps
-            order = np.argsort(h)
-            h, k, p = h[order], k[order], p[order]
-            first = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]]))
-            who = mix(k.view(U64)) + p.astype(U64)
-            shared = np.minimum.reduceat(who, first) != np.maximum.reduceat(who, first)
-            shared = np.repeat(shared, np.diff(np.append(first, len(h))))
+            h, c, k, p = (np.concatenate(x) for x in (hs, cs, ks, ps))
+            del hs, cs, ks, ps
+            order, new = _grouped(h, c)
+            k, p = k[order], p[order]
+            del h, c, order
+            first = np.flatnonzero(new)
+            shared = np.zeros(len(first), bool)
+            for x in (k, p):
+                shared |= np.minimum.reduceat(x, first) != np.maximum.reduceat(x, first)
+            shared = np.repeat(shared, np.diff(np.append(first, len(k))))
             out += _by_bucket(k[shared], p[shared], buckets)
         kinds = (pa.int32(), pa.binary(), pa.binary(), pa.binary())
         return pa.table([pa.array(c, t) for c, t in zip(list(zip(*out)) or [()] * 4, kinds)], names=["bucket", "keys", "counts", "deltas"])
@@ -183,13 +208,14 @@ def _gather(table: pa.Table) -> pa.Table:
     return pa.table({"key": pa.array(k, pa.int64()), "deltas": pa.array([planes(d[a:b], 4) for a, b in zip(ends, ends[1:])], pa.binary())})
 
 
-def _sample(length: int, blocks: int, buckets: int):
-    """Mapper of step 1: hashes of the windows at sampled positions."""
+def _sample(length: int, blocks: int, buckets: int, width: int):
+    """Mapper of step 1: hashes of ``width`` bytes of the windows at sampled positions."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         v, cover = cover_for(length)
         window, roll = length - v + 1, Rolling(11)
-        packer, held, seen = _Packer(blocks, buckets, 5), 0, set()
+        packer, held, seen = _Packer(blocks, buckets, width), 0, set()
+        low = U64(2 ** (8 * width) - 1)
         for batch in batches:
             data, off = buffers(batch.column("text"))
             keys = batch.column("key").to_numpy(zero_copy_only=False)
@@ -214,7 +240,7 @@ def _sample(length: int, blocks: int, buckets: int):
                 if i < j:
                     sums = roll.sums(data[a : a + CHUNK + window])
                     s = where[i:j] - a
-                    packer.add(roll.windows(sums, s, s + window) & U64(0xFFFFFFFFFF), keys[doc[i:j]], pos[i:j])
+                    packer.add(roll.windows(sums, s, s + window) & low, keys[doc[i:j]], pos[i:j])
             held += len(data)
             if held >= FLUSH:
                 yield from packer.rows()
@@ -229,7 +255,8 @@ def _candidates(length: int, blocks: int, buckets: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         v, _ = cover_for(length)
-        roll, packer = Rolling(23), _Packer(blocks, buckets, 8)
+        roll, third, packer = Rolling(23), Rolling(29, 1), _Packer(blocks, buckets, STRING_BYTES)
+        low = U64(2 ** (8 * CHECK_BYTES) - 1)
         for batch in batches:
             data, off = buffers(batch.column("text"))
             keys = batch.column("key").to_numpy(zero_copy_only=False)
@@ -245,8 +272,9 @@ def _candidates(length: int, blocks: int, buckets: int):
                 for a in range(0, len(text), CHUNK):
                     s = at[np.searchsorted(at, a) : np.searchsorted(at, a + CHUNK)]
                     if len(s):
-                        sums = roll.sums(text[a : a + CHUNK + length])
-                        packer.add(roll.windows(sums, s - a, s - a + length), np.full(len(s), keys[i]), s)
+                        part = text[a : a + CHUNK + length]
+                        check = third.windows(third.sums(part), s - a, s - a + length) & low
+                        packer.add(roll.windows(roll.sums(part), s - a, s - a + length), np.full(len(s), keys[i]), s, check.astype(np.uint32))
                         if packer.n >= FLUSH_POSITIONS:
                             yield from packer.rows()
         yield from packer.rows()
@@ -306,20 +334,37 @@ def cut_repeats(docs: DataFrame, text: str = "text", ids: str = "doc_id", length
     spark = docs.sparkSession
     small_batches(spark)
     scratch = Scratch(spark, "repeats")
-    buckets = shuffle_partitions(spark)
-    blocks = 2 * buckets
     whole = F.coalesce(docs[text], F.lit(""))
     carried = {f"_carried_{i}": docs[c] for i, c in enumerate(carry or [])}
-    rows = docs.select(docs[ids].alias("id"), whole.alias("text"), F.xxhash64(whole, F.octet_length(whole)).alias("key"), *(c.alias(k) for k, c in carried.items()))
-    base = rows.select("id", "text", "key")
+    salt = 0
+    while True:
+        key = F.xxhash64(F.lit(salt), whole, F.octet_length(whole))
+        rows = docs.select(docs[ids].alias("id"), whole.alias("text"), key.alias("key"), *(c.alias(k) for k, c in carried.items()))
+        base = rows.select("id", "text", "key")
+        told = base.where(F.octet_length("text") >= length).select("id", "key", F.octet_length("text").alias("size"), F.sha2("text", 256).alias("sha"))
+        parts = [F.conv(F.substring("sha", 1 + 15 * i, 15), 16, 10).cast("long") for i in range(4)]
+        texts = told.select("id", "key", "size", *(x.alias(f"sha{i}") for i, x in enumerate(parts)))
+        ends = [f(f"sha{i}").alias(f"{n}{i}") for i in range(4) for f, n in ((F.min, "low"), (F.max, "high"))]
+        grouped = texts.groupBy("key").agg(F.count("*").alias("copies"), F.min("id").alias("one"), F.max("size").alias("size"), *ends)
+        differ = F.lit(False)
+        for i in range(4):
+            differ = differ | (F.col(f"low{i}") != F.col(f"high{i}"))
+        classes = scratch.write(grouped.select("key", "copies", "one", "size", differ.alias("differ")), f"classes-{salt}")
+        clash, total = classes.agg(F.max("differ"), F.sum("size")).head()
+        if not clash:
+            break
+        salt += 1  # two texts of one key: all keys are drawn anew
+    total = total or 1
+    blocks, buckets = (max(shuffle_partitions(spark), -(-total // x)) for x in (BLOCK_BYTES, BUCKET_BYTES))
+    # so wide that chance makes at most one in a thousand samples look shared
+    width = min(8, max(5, -(-(total.bit_length() + 10) // 8)))
 
     def shared(mapped: DataFrame) -> DataFrame:
         found = mapped.groupBy("block").applyInArrow(_settle(buckets), _FOUND)
         return found.groupBy("bucket").applyInArrow(_gather, _POSITIONS)
 
-    sampled = scratch.write(shared(base.select("key", "text").mapInArrow(_sample(length, blocks, buckets), _PACKED)), "samples")
+    sampled = scratch.write(shared(base.select("key", "text").mapInArrow(_sample(length, blocks, buckets, width), _PACKED)), "samples")
     free_shuffles(spark)
-    classes = base.where(F.octet_length("text") >= length).groupBy("key").agg(F.count("*").alias("copies"), F.min("id").alias("one"))
     reps = scratch.write(sampled.join(classes, "key").select(F.col("key").alias("k"), "one", "deltas"), "reps")
     meets = base.join(reps.hint("shuffle_hash"), (base["key"] == reps["k"]) & base["id"].eqNullSafe(reps["one"])).select("key", "text", "deltas")
     starts = scratch.write(shared(meets.mapInArrow(_candidates(length, blocks, buckets), _PACKED)), "starts")

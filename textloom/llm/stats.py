@@ -9,13 +9,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .kernels import U64, Rolling, buffers, line_bounds, mix, ranges, word_bounds
+from .kernels import buffers, dictionary, line_bounds, ranges, tuples, word_bounds
 from .scratch import small_batches
 
 SYMBOLS = b"#*$%&|<>"
 WINDOW = 5
 COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_distinct_words", "n_lines", "n_code_points", "n_upper", "n_digits", "n_points", "n_longest_word")
-_ROLL = Rolling(7)
 
 
 def _per_text(flags: np.ndarray, off: np.ndarray) -> np.ndarray:
@@ -23,40 +22,26 @@ def _per_text(flags: np.ndarray, off: np.ndarray) -> np.ndarray:
     return total[off[1:]] - total[off[:-1]]
 
 
-def _distinct(keys: np.ndarray, text: np.ndarray, n: int) -> np.ndarray:
-    """How many distinct keys each text has; the keys are hashes that are salted by text."""
-    order = np.argsort(keys)
-    k = keys[order]
-    new = np.ones(len(k), bool)
-    new[1:] = k[1:] != k[:-1]
-    return np.bincount(text[order[new]], minlength=n)
+def _distinct(code: np.ndarray, text: np.ndarray, n: int) -> np.ndarray:
+    """How many distinct codes each text has."""
+    most = int(code.max(initial=0)) + 1
+    return np.bincount(np.unique(text * most + code) // most, minlength=n)
 
 
 def count_texts(data: np.ndarray, off: np.ndarray) -> dict[str, np.ndarray]:
     n = len(off) - 1
     hist = np.stack([np.bincount(data[a:b], minlength=256) for a, b in zip(off[:-1].tolist(), off[1:].tolist())])
-    sums = _ROLL.sums(data)
     s, e, cut = word_bounds(data, off)
-    words = _ROLL.windows(sums, s, e)
+    words, _ = dictionary(data, s, e)
     n_words = np.diff(cut)
     text = np.repeat(np.arange(n), n_words)
-    salt = mix(np.arange(1, n + 1, dtype=np.uint64))
-    # words in windows that occur twice
+    # words in windows that occur twice in their text: the window's text is a sixth member of the tuple
     full = max(0, len(words) - WINDOW + 1)
-    h = np.zeros(full, U64)
-    for j in range(WINDOW):
-        h = h * U64(0x9E3779B97F4A7C15) + words[j : j + full]
     at = np.flatnonzero(text[:full] == text[WINDOW - 1 :]) if full else np.zeros(0, np.int64)
-    h = mix(h[at] ^ salt[text[at]])
-    order = np.argsort(h)
-    g = h[order]
-    twice = np.zeros(len(g), bool)
-    if len(g):
-        same = g[1:] == g[:-1]
-        twice[1:] |= same
-        twice[:-1] |= same
+    window = np.unique(tuples(words, WINDOW)[at], return_inverse=True)[1]
+    _, back, many = np.unique(text[at] * (len(at) + 1) + window, return_inverse=True, return_counts=True)
     edge = np.zeros(len(words) + WINDOW + 1, np.int32)
-    at = at[order[twice]]
+    at = at[many[back] > 1]
     edge[at] += 1
     edge[at + WINDOW] -= 1
     covered = np.cumsum(edge)[: len(words)] > 0
@@ -64,7 +49,7 @@ def count_texts(data: np.ndarray, off: np.ndarray) -> dict[str, np.ndarray]:
     ls, le, lt = line_bounds(data, off)
     used = np.searchsorted(s, le) > np.searchsorted(s, ls)
     lines = np.bincount(lt[used], minlength=n)
-    lh = mix(_ROLL.windows(sums, ls[used], le[used]) ^ salt[lt[used]] + (le - ls)[used].astype(U64))
+    line, _ = dictionary(data, ls[used], le[used])
     white = hist[:, 9:14].sum(1) + hist[:, 32]
     points = hist[:, :128].sum(1) + hist[:, 192:].sum(1)
     longest = np.zeros(n, np.int64)
@@ -73,9 +58,9 @@ def count_texts(data: np.ndarray, off: np.ndarray) -> dict[str, np.ndarray]:
         "n_words": n_words,
         "word_chars": points - white,
         "n_symbols": hist[:, list(SYMBOLS)].sum(1),
-        "n_dup_lines": lines - _distinct(lh, lt[used], n),
+        "n_dup_lines": lines - _distinct(line, lt[used], n),
         "n_repeat_words": _per_text(covered, cut),
-        "n_distinct_words": _distinct(mix(words ^ salt[text]), text, n),
+        "n_distinct_words": _distinct(words, text, n),
         "n_lines": lines,
         "n_code_points": points,
         "n_upper": hist[:, 65:91].sum(1),
