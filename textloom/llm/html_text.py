@@ -4,21 +4,25 @@ The standard library's streaming parser turns a page into lines (text between bl
 with the number of tags in each. A line's text-to-tag ratio, smoothed along the page by a Gaussian, falls into one of two
 clusters around the means of a one-dimensional two-means split: content or boilerplate. Lines of article and main elements
 count ``PRIOR`` times their ratio. The content region is the smallest element that holds all content lines, where an
-article or main element counts as one line: all of it is content if it has a content line, or if the text of such elements,
-weighed ``WEIGHT`` times, makes half of the page's content. All of the region's lines are kept, short ones too, but for its blocks without a content line before
-the first or after the last content: these are boilerplate.
-
-Navigation, footers, headers of the page, asides, forms, scripts, styles and what isn't shown are left out wherever they
-stand. So are elements whose class, id or role has a name that says, or begins with a word that says, advert, notice, menu,
-sidebar or comments, unless they hold half of the text of the page's article and main elements, or half of its content, weighed alike.
-
-Null and empty pages give an empty text. Broken markup is read as far as it goes: an end tag closes what it finds open, an
-unclosed element ends with the page. Other columns don't matter; rows may repeat.
+article or main element counts as one line: all of it is content if it has a content line; where none has, all are if their
+text, weighed ``WEIGHT`` times, makes half of the page's content. All of the region's lines are kept, short ones too, but
+for its blocks without a content line before the first or after the last content: these are boilerplate.
+
+Navigation, footers, headers of the page, asides, scripts, styles, controls and what isn't shown are left out wherever they
+stand. So are forms and elements with a class, id or role that names an advert, notice, menu, sidebar or comments, unless
+they hold half of the text of the page's article and main elements, or half of its content, weighed alike (comments: unless
+they hold all content). A name says so if all of its words are known, one of ``HINTS`` and else only of ``LAYOUT``:
+``cookie-notice`` and ``ad_slot2`` do, ``ad-hoc``, ``share-price`` and ``has-sidebar`` don't.
+
+Null and empty pages give an empty text. Broken markup is read as far as it goes: end tags that may be left away are
+implied as in the HTML standard, an end tag closes what it finds open, an unclosed element ends with the page. Other
+columns don't matter; rows may repeat.
 """
 
 from __future__ import annotations
 
 import re
+from collections import Counter
 from html.parser import HTMLParser
 
 import numpy as np
@@ -28,37 +32,66 @@ from pyspark.sql import DataFrame
 from .stats import map_text
 
 SIGMA, PRIOR, WEIGHT, FEED = 1.0, 2.0, 10, 1 << 20
-SKIPPED = frozenset("nav aside footer form script style noscript template iframe object svg canvas math select textarea button dialog menu head audio video map datalist".split())
-PAGE_ONLY = frozenset(("header",))
+SKIPPED = frozenset("nav aside footer script style noscript template iframe object svg canvas select textarea button dialog menu head audio video map datalist".split())
 REGIONS = frozenset(("article", "main"))
-HOLDERS = frozenset("html body div section article main header table td".split())
-BLOCKS = HOLDERS | SKIPPED | frozenset("p h1 h2 h3 h4 h5 h6 ul ol li dl dt dd blockquote pre figure figcaption tr th thead tbody tfoot caption hr br address fieldset details summary center title".split())
+HOLDERS = frozenset("html body div section article main header table td form".split())
+#: Start tags that end an open paragraph (HTML standard).
+CLOSERS = frozenset(
+    "address article aside blockquote center details dialog dir div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr main menu nav ol p pre search section summary table ul".split()
+)
+BLOCKS = HOLDERS | SKIPPED | CLOSERS | frozenset("li dt dd tr th thead tbody tfoot caption br title legend option".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-HINTS = frozenset(
+_CELLS, _PARTS = ("td", "th"), ("td", "th", "tr", "thead", "tbody", "tfoot", "caption")
+#: What a start tag ends, and the elements beyond which it ends nothing.
+IMPLIED = {
+    "li": (("li",), frozenset("ul ol menu".split())),
+    "dt": (("dt", "dd"), frozenset(("dl",))),
+    "dd": (("dt", "dd"), frozenset(("dl",))),
+    "option": (("option",), frozenset(("select", "datalist"))),
+    "td": (_CELLS, frozenset(("tr", "table"))),
+    "th": (_CELLS, frozenset(("tr", "table"))),
+    "tr": (_PARTS[:3] + ("caption",), frozenset(("table",))),
+    "thead": (_PARTS, frozenset(("table",))),
+    "tbody": (_PARTS, frozenset(("table",))),
+    "tfoot": (_PARTS, frozenset(("table",))),
+    "body": (("head",), frozenset()),
+}
+_SCOPE = frozenset("table td th caption button object template html".split())
+COMMENTS = frozenset("comment comments disqus reply replies respond".split())
+HINTS = COMMENTS | frozenset(
     "ad ads advert adverts advertisement advertising adsbygoogle sponsor sponsored promo promotion cookie cookies consent gdpr notice notices alert banner "
-    "comment comments disqus reply replies respond sidebar menu nav navbar navigation topnav breadcrumb breadcrumbs footer masthead related recommended share sharing social newsletter "
+    "sidebar menu nav navbar navigation topnav breadcrumb breadcrumbs footer masthead related recommended share sharing social newsletter "
     "subscribe subscription popup modal overlay toolbar widget pagination skip complementary contentinfo search login signup".split()
 )
-_LEADING = re.compile(r"[^\W\d_]*")
+#: Names of the page's header, which an article may have inside.
+PAGE_ONLY = frozenset(("header",))
+LAYOUT = frozenset(
+    "box bar block container wrapper wrap area section list links link item items slot unit inner outer panel row col column left right top bottom site page global primary secondary main content "
+    "form button buttons icon icons message msg frame thread js lazy sticky fixed mobile desktop wide small large responsive dfp gpt google posts articles stories wp id".split()
+)
+_WORD = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])|[^\W\d_]+")
 
 
 def _unseen(attrs: list[tuple[str, str | None]]) -> bool:
     for name, value in attrs:
-        if name == "hidden" or name == "aria-hidden" and value == "true":
+        if name == "hidden":
             return True
         if name == "style" and value and "display:none" in value.replace(" ", "").lower():
             return True
     return False
 
 
-def _hinted(attrs: list[tuple[str, str | None]], inside: bool) -> bool:
+def _hinted(attrs: list[tuple[str, str | None]], inside: bool) -> frozenset[str]:
+    """The words of an element's names that say it is boilerplate."""
+    known = HINTS if inside else HINTS | PAGE_ONLY
+    out: frozenset[str] = frozenset()
     for name, value in attrs:
         if name in ("class", "id", "role") and value:
-            for word in value.lower().split():
-                said = {word, _LEADING.match(word).group()}
-                if not HINTS.isdisjoint(said) or not inside and not PAGE_ONLY.isdisjoint(said):
-                    return True
-    return False
+            for one in value.split():
+                words = frozenset(w.lower() for w in _WORD.findall(one)) if one.lower() not in known else frozenset((one.lower(),))
+                if words <= known | LAYOUT:
+                    out |= words & known
+    return out
 
 
 class Lines(HTMLParser):
@@ -67,7 +100,9 @@ class Lines(HTMLParser):
     def __init__(self):
         super().__init__(convert_charrefs=True)
         self.stack: list[tuple[str, int, bool]] = [("", 0, False)]  # name, element, left out
-        self.parent, self.region, self.hinted = [-1], [0], [False]  # region: the outermost article or main around, or 0
+        self.open: Counter[str] = Counter()
+        self.parent, self.region = [-1], [0]  # region: the outermost article or main around, or 0
+        self.hinted, self.comments = [False], [False]
         self.lines: list[list[tuple[str | None, int]]] = []
         self.pieces: list[tuple[str | None, int]] = []
 
@@ -76,46 +111,61 @@ class Lines(HTMLParser):
             self.lines.append(self.pieces)
             self.pieces = []
 
+    def _close(self, tags: tuple[str, ...], scope: frozenset[str]) -> bool:
+        """Ends the innermost open one of the elements and all within it, if nothing of the scope stands between."""
+        if not any(self.open[t] for t in tags):
+            return False
+        stack = self.stack
+        for i in range(len(stack) - 1, 0, -1):
+            name = stack[i][0]
+            if name in tags:
+                for gone, _, _ in stack[i:]:
+                    self.open[gone] -= 1
+                del stack[i:]
+                return True
+            if name in scope:
+                return False
+        return False
+
     def handle_starttag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
-        name, element, out = self.stack[-1]
         if tag in BLOCKS:
             self._flush()
-            if name == "p" and tag != "br" or name == "li" and tag == "li":  # its end tag was left away
-                self.stack.pop()
-                name, element, out = self.stack[-1]
+            if tag in CLOSERS:
+                self._close(("head",), frozenset())
+                self._close(("p",), _SCOPE)
+            if tag in IMPLIED:
+                while self._close(*IMPLIED[tag]):
+                    pass
+        _, element, out = self.stack[-1]
         if not out:
             self.pieces.append((None, element))
         if tag in VOID:
             return
         region = self.region[element]
-        hints = bool(attrs) and tag not in ("html", "body") and tag not in REGIONS
-        hide = out or tag in SKIPPED or (tag in PAGE_ONLY and not region) or hints and _unseen(attrs)
-        hinted = hints and not hide and _hinted(attrs, bool(region))
+        named = bool(attrs) and tag not in ("html", "body") and tag not in REGIONS
+        hide = out or tag in SKIPPED or (tag == "header" and not region) or named and _unseen(attrs)
+        words = _hinted(attrs, bool(region)) if named and not hide else frozenset()
+        hinted = bool(words) or tag == "form"
         if (tag in HOLDERS or hinted) and not out:
+            me, comments = len(self.parent), self.comments[element] or not COMMENTS.isdisjoint(words)
             self.parent.append(element)
-            self.region.append(region or (len(self.parent) - 1 if tag in REGIONS else 0))
+            self.region.append(region or (me if tag in REGIONS and not comments else 0))
             self.hinted.append(hinted)
-            self.stack.append((tag, len(self.parent) - 1, hide))
-        elif hide and not out or out and (tag in HOLDERS or tag in SKIPPED) or tag == name:
-            self.stack.append((tag, element, hide))
+            self.comments.append(comments)
+            element = me
+        self.stack.append((tag, element, hide))
+        self.open[tag] += 1
 
     def handle_startendtag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
-        if tag in BLOCKS:
-            self._flush()
+        self.handle_starttag(tag, attrs)  # only void elements end with their start tag, whatever the slash says
 
     def handle_endtag(self, tag: str) -> None:
         if tag in BLOCKS:
             self._flush()
-        stack = self.stack
-        if not stack[-1][2]:
-            self.pieces.append((None, stack[-1][1]))
-        if tag == stack[-1][0]:
-            stack.pop()
-        elif tag in HOLDERS or tag in SKIPPED:
-            for i in range(len(stack) - 1, 0, -1):
-                if stack[i][0] == tag:
-                    del stack[i:]
-                    break
+        _, element, out = self.stack[-1]
+        if not out:
+            self.pieces.append((None, element))
+        self._close((tag,), _SCOPE - {tag} if tag in BLOCKS else BLOCKS)
 
     def handle_data(self, data: str) -> None:
         if not self.stack[-1][2]:
@@ -180,7 +230,10 @@ def _hide(parser: Lines) -> list[bool]:
     content, regions = _up(content, parent), _up(regions, parent)
     hidden = [False] * n
     for e in range(1, n):
-        small = 2 * content[e] < max(1, content[0]) and not (regions[e] and 2 * regions[e] >= regions[0])
+        if parser.comments[e]:
+            small = content[e] < max(1, content[0])
+        else:
+            small = 2 * content[e] < max(1, content[0]) and not (regions[e] and 2 * regions[e] >= regions[0])
         hidden[e] = hidden[parent[e]] or parser.hinted[e] and small
     return hidden
 
@@ -196,10 +249,10 @@ def extract(html: str) -> str:
         return ""
     parent, region, n = parser.parent, parser.region, len(parser.parent)
     good = _judged(lines, region)
-    # regions with a content line are content as a whole; all regions, if by weight they hold half of it
+    # regions with a content line are content as a whole; where none has one, all are if by weight they hold half of it
     inside = WEIGHT * sum(len(t) for t, _, e in lines if region[e])
     every = inside >= sum(len(t) for (t, _, e), use in zip(lines, good) if use and not region[e])
-    whole = {region[e] for (_, _, e), use in zip(lines, good) if region[e] and (use or every)}
+    whole = {region[e] for (_, _, e), use in zip(lines, good) if region[e] and use} or {region[e] for _, _, e in lines if region[e] and every}
     good = [use or region[e] in whole for (_, _, e), use in zip(lines, good)]
     # the lowest element that holds all content lines, and whether an element holds any
     held = [0] * n

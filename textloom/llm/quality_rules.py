@@ -1,8 +1,8 @@
 """Quality rules: a learned decision list over document statistics, applied as one Spark conditional expression.
 
 Sequential covering. A rule for label 0 starts empty and grows the threshold condition with the best information gain
-(FOIL) until it covers no document of label 1 or nothing helps, then drops trailing conditions as long as that doesn't
-lower its value on a part of the rows kept for pruning. It is accepted if it stays right there; what it covers leaves the
+(FOIL) until it covers no document of label 1 or nothing helps, then drops conditions, whichever is missed least, as long as
+that doesn't lower its value on a part of the rows kept for pruning. It is accepted if it stays right there; what it covers leaves the
 rows, and the next rule starts. Texts that no rule covers are kept.
 
 The rows to learn from are a bounded sample (``SAMPLE_ROWS``) outside a held-out fold; statistics and verdicts cover
@@ -94,8 +94,11 @@ def learn(x: np.ndarray, label: np.ndarray) -> list[Rule]:
     while len(rules) < MOST_RULES and (bad & left & ~prune).sum() >= LEAST_COVER:
         use = left & ~prune
         rule = _grow(x[use], bad[use])
-        while len(rule) > 1 and value(rule[:-1])[0] >= value(rule)[0]:
-            rule = rule[:-1]
+        while len(rule) > 1:
+            shorter = max((rule[:i] + rule[i + 1 :] for i in range(len(rule) - 1, -1, -1)), key=lambda r: value(r)[0])
+            if value(shorter)[0] < value(rule)[0]:
+                break
+            rule = shorter
         _, p, n = value(rule)
         whole = _covers(rule, x) & left
         if not rule or p + n == 0 or p / (p + n) < LEAST_PRECISION or (whole & bad).sum() < LEAST_COVER:

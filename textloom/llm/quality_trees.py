@@ -5,6 +5,7 @@ feature once by quantiles, and grows trees of fixed depth by gradient histograms
 travel with the function. Scoring reads every whole text once.
 
 Null and empty texts have the statistics of an empty text and a score like any other. Without labels every score is 0.5.
+Rows without an id teach nothing, are scored like any other, and aren't held out.
 """
 
 from __future__ import annotations

@@ -52,7 +52,7 @@ def op4_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = packing.pack(_table(spark, sf_dir, "documents"), tokenizer("byte_bpe_50k.json"))
+    out = packing.pack(_table(spark, sf_dir, "documents"), tokenizer("byte_bpe_50k.json"), added_tokens=True)
     return out.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
 
 
@@ -65,14 +65,15 @@ def op7_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
 
 
-def _fold(folds: int) -> F.Column:
-    return F.crc32(F.col("doc_id").cast("string")) % folds
+def _held_out(folds: int, fold: int) -> F.Column:
+    """Whether the id's remainder is that of the held-out fold; a row without an id has none."""
+    return F.coalesce(F.crc32(F.col("doc_id").cast("string")) % folds == fold, F.lit(False)).alias("held_out")
 
 
 def op8_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents")
     scored = quality_trees.score(docs, quality_trees.fit(docs, _table(spark, sf_dir, "labels")))
-    return scored.select("doc_id", (_fold(quality_trees.FOLDS) == 0).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
+    return scored.select("doc_id", _held_out(quality_trees.FOLDS, 0), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
 
 
 def _read_back(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -101,7 +102,7 @@ def op9_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents")
     out = langid.predict(docs, langid.learn(docs))
-    return out.select("doc_id", (_fold(langid.FOLDS) == langid.HELD_OUT).alias("held_out"), "lang_pred", "score")
+    return out.select("doc_id", _held_out(langid.FOLDS, langid.HELD_OUT), "lang_pred", "score")
 
 
 QUERIES = {

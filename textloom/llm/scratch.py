@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import atexit
 import gc
+import re
 import shutil
 import tempfile
 import time
@@ -17,9 +18,11 @@ _OWN: list[str] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The cluster's ``spark.checkpoint.dir``; a folder of our own only where it is unset (local tests)."""
+    """The cluster's ``spark.checkpoint.dir``; a folder of our own only where it is unset and the master is local."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         if not _OWN:
             _OWN.append(tempfile.mkdtemp(prefix="textloom-"))
             atexit.register(shutil.rmtree, _OWN[0], ignore_errors=True)
@@ -28,9 +31,14 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def small_batches(spark: SparkSession) -> None:
-    """Bounds the Arrow batches that Python workers get: whole texts are long."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ARROW_ROWS))
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(ARROW_BYTES))
+    """Bounds the Arrow batches that Python workers get, for the session: whole texts are long. Smaller bounds stay.
+
+    Results are lazy, so the bounds have to hold until they are read; they change no result.
+    """
+    for name, most in (("maxRecordsPerBatch", ARROW_ROWS), ("maxBytesPerBatch", ARROW_BYTES)):
+        set_to = re.match(r"\d+$", spark.conf.get(f"spark.sql.execution.arrow.{name}", ""))
+        if not set_to or not 0 < int(set_to[0]) <= most:
+            spark.conf.set(f"spark.sql.execution.arrow.{name}", str(most))
 
 
 class Scratch:
