@@ -15,32 +15,43 @@ from textloom.llm.scratch import Scratch
 LEAST_SCORE = 0.3
 
 
+def _plain(docs: DataFrame) -> tuple[DataFrame, list[str], str, str]:
+    """The rows under numbered column names, which clash with none of an operator's own; those names, the id's and the text's."""
+    names = [f"_column_{i}" for i in range(len(docs.columns))]
+    return docs.toDF(*names), names, names[docs.columns.index("doc_id")], names[docs.columns.index("text")]
+
+
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents of a score under LEAST_SCORE go."""
     trees = quality_trees.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    return quality_trees.score(docs, trees, keep=docs.columns).where(F.col("score") >= LEAST_SCORE).drop("score")
+    plain, names, _, text = _plain(docs)
+    return quality_trees.score(plain, trees, text=text, keep=names).where(F.col("score") >= LEAST_SCORE).select(names).toDF(*docs.columns)
 
 
 def rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that fail the base checks or a learned rule go."""
     learned = quality_rules.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    return quality_rules.apply_rules(docs, learned, keep=docs.columns).where("kept").select(docs.columns)
+    plain, names, _, text = _plain(docs)
+    return quality_rules.apply_rules(plain, learned, text=text, keep=names).where("kept").select(names).toDF(*docs.columns)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The row of the smallest id stays of each group (null last, then by text); ids may be null or repeated."""
-    return neardup.one_of_each(docs)
+    plain, _, ids, text = _plain(docs)
+    return neardup.one_of_each(plain, text=text, ids=ids).toDF(*docs.columns)
 
 
 def suffix_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Repeated spans are cut, to whole characters; a document of which nothing is left stays with an empty text."""
-    cut = repeats.cut_repeats(docs, keep_characters=True, carry=[c for c in docs.columns if c not in ("doc_id", "text", "n_chars")])
-    text = F.decode("kept", "UTF-8")
-    return cut.withColumn("text", text).withColumn("n_chars", F.length("text").cast("long")).select(docs.columns)
+    plain, names, ids, text = _plain(docs)
+    cut = repeats.cut_repeats(plain, text=text, ids=ids, keep_characters=True, carry=[c for c in names if c not in (ids, text)])
+    left = F.decode("kept", "UTF-8")
+    made = {text: left, **({names[docs.columns.index("n_chars")]: F.length(left).cast("long")} if "n_chars" in docs.columns else {})}
+    return cut.select(*(made.get(c, F.col(c)).alias(c) for c in names)).toDF(*docs.columns)
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return packing.pack(docs, tokenizer("byte_bpe_50k.json"))
+    return packing.pack(docs, tokenizer("byte_bpe_50k.json"), added_tokens=True)
 
 
 STAGES = [
