@@ -36,7 +36,7 @@ def small_batches(spark: SparkSession) -> None:
     Results are lazy, so the bounds have to hold until they are read; they change no result.
     """
     for name, most in (("maxRecordsPerBatch", ARROW_ROWS), ("maxBytesPerBatch", ARROW_BYTES)):
-        set_to = re.match(r"\d+$", spark.conf.get(f"spark.sql.execution.arrow.{name}", ""))
+        set_to = re.match(r"\d+$", str(spark.conf.get(f"spark.sql.execution.arrow.{name}")))
         if not set_to or not 0 < int(set_to[0]) <= most:
             spark.conf.set(f"spark.sql.execution.arrow.{name}", str(most))
 
