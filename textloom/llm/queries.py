@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import chat, html_text, langid, neardup, packing, quality_rules, quality_trees, repeats, sentencepieces, topk
+from .oracles import ORACLES
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -105,6 +106,8 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", _held_out(langid.FOLDS, langid.HELD_OUT), "lang_pred", "score")
 
 
+__all__ = ["ORACLES", "QUERIES"]
+
 QUERIES = {
     "op1_sentencepiece": op1_sentencepiece,
     "op2_quality_rules": op2_quality_rules,
@@ -117,4 +120,3 @@ QUERIES = {
     "op9_chat_formatting": op9_chat_formatting,
     "op10_language_id": op10_language_id,
 }
-ORACLES: dict[str, str] = {}

@@ -6,8 +6,8 @@ A byte goes if a string of ``length`` bytes that covers it also starts anywhere
    in D. Two equal strings of ``length`` bytes therefore hold equal windows of ``length - v + 1`` bytes that start at
    sampled positions. Only these windows (|D| / v of all positions) are hashed and dealt into blocks by hash; a block is
    sorted alone, and gives the samples whose rank is shared.
-2. Ties. Only positions less than v before a shared sample can start a repeated string. Their whole strings are hashed
-   again, to ``STRING_BYTES`` bytes (86 bits of three polynomials over a prime field), and dealt into blocks; sorting a
+2. Ties. Only positions less than v before a shared sample can start a repeated string. Texts are cut down to the stretches
+   of such positions, and their whole strings are hashed again, to ``STRING_BYTES`` bytes (86 bits of three polynomials over a prime field), and dealt into blocks; sorting a
    block settles which are repeated.
 3. Removal. Each text meets its repeated positions again, and the bytes they cover are cut.
 
@@ -250,8 +250,42 @@ def _sample(length: int, blocks: int, buckets: int, width: int):
     return run
 
 
+def _may_start(n: int, shared: np.ndarray, length: int, v: int) -> np.ndarray:
+    """The positions of a text of n bytes, less than v before a shared sample, at which a whole string can start."""
+    edge = np.zeros(n + 2, np.int32)
+    np.add.at(edge, np.maximum(shared - v + 1, 0), 1)
+    np.add.at(edge, shared + 1, -1)
+    return np.flatnonzero(np.cumsum(edge)[: max(0, n - length + 1)] > 0)
+
+
+def _segments(length: int):
+    """Mapper before step 2: of each text only the stretches in which strings can start, and the shared samples that say so."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        v, _ = cover_for(length)
+        for batch in batches:
+            data, off = buffers(batch.column("text"))
+            keys = batch.column("key").to_pylist()
+            out: list[tuple] = []
+            for i, deltas in enumerate(batch.column("deltas").to_pylist()):
+                text = data[off[i] : off[i + 1]]
+                at = _may_start(len(text), decode(deltas), length, v)
+                if len(at):
+                    gap = np.flatnonzero(np.diff(at) > 1)
+                    for a, b in zip(at[np.append(0, gap + 1)].tolist(), at[np.append(gap, len(at) - 1)].tolist()):
+                        # every position of the stretch counts: samples so close that each is less than v before one
+                        every = np.minimum(np.arange(v - 1, b - a + v, v), b - a)
+                        out.append((keys[i], a, text[a : b + length].tobytes(), planes(np.diff(every, prepend=0), 4)))
+            for i in range(0, max(1, len(out)), 2000):
+                cols = list(zip(*out[i : i + 2000])) or [()] * 4
+                kinds = (pa.int64(), pa.int64(), pa.binary(), pa.binary())
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds)], names=["key", "start", "text", "deltas"])
+
+    return run
+
+
 def _candidates(length: int, blocks: int, buckets: int):
-    """Mapper of step 2: hashes of the whole strings that a shared sample allows."""
+    """Mapper of step 2: hashes of the whole strings that a shared sample allows; ``start`` is where in its text a stretch begins."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         v, _ = cover_for(length)
@@ -260,21 +294,16 @@ def _candidates(length: int, blocks: int, buckets: int):
         for batch in batches:
             data, off = buffers(batch.column("text"))
             keys = batch.column("key").to_numpy(zero_copy_only=False)
-            found = batch.column("deltas").to_pylist()
-            for i, deltas in enumerate(found):
+            begin = batch.column("start").to_pylist() if "start" in batch.schema.names else [0] * batch.num_rows
+            for i, deltas in enumerate(batch.column("deltas").to_pylist()):
                 text = data[off[i] : off[i + 1]]
-                shared = decode(deltas)
-                last = len(text) - length
-                edge = np.zeros(len(text) + 2, np.int32)
-                np.add.at(edge, np.maximum(shared - v + 1, 0), 1)
-                np.add.at(edge, shared + 1, -1)
-                at = np.flatnonzero(np.cumsum(edge)[: last + 1] > 0)
+                at = _may_start(len(text), decode(deltas), length, v)
                 for a in range(0, len(text), CHUNK):
                     s = at[np.searchsorted(at, a) : np.searchsorted(at, a + CHUNK)]
                     if len(s):
                         part = text[a : a + CHUNK + length]
                         check = third.windows(third.sums(part), s - a, s - a + length) & low
-                        packer.add(roll.windows(roll.sums(part), s - a, s - a + length), np.full(len(s), keys[i]), s, check.astype(np.uint32))
+                        packer.add(roll.windows(roll.sums(part), s - a, s - a + length), np.full(len(s), keys[i]), s + begin[i], check.astype(np.uint32))
                         if packer.n >= FLUSH_POSITIONS:
                             yield from packer.rows()
         yield from packer.rows()
@@ -367,9 +396,11 @@ def cut_repeats(docs: DataFrame, text: str = "text", ids: str = "doc_id", length
     free_shuffles(spark)
     reps = scratch.write(sampled.join(classes, "key").select(F.col("key").alias("k"), "one", "deltas"), "reps")
     meets = base.join(reps.hint("shuffle_hash"), (base["key"] == reps["k"]) & base["id"].eqNullSafe(reps["one"])).select("key", "text", "deltas")
-    starts = scratch.write(shared(meets.mapInArrow(_candidates(length, blocks, buckets), _PACKED)), "starts")
+    segments = scratch.write(meets.mapInArrow(_segments(length), "key long, start long, text binary, deltas binary"), "segments")
+    free_shuffles(spark)
+    starts = scratch.write(shared(segments.mapInArrow(_candidates(length, blocks, buckets), _PACKED)), "starts")
     free_shuffles(spark)
-    scratch.drop("samples", "reps")
+    scratch.drop("samples", "reps", "segments")
     result = scratch.write(classes.where("copies > 1").join(starts, "key", "full").select(F.col("key").alias("k"), "copies", "deltas"), "result")
     free_shuffles(spark)
     joined = rows.join(result, rows["key"] == result["k"], "left").select("id", *carried, "text", "key", "copies", "deltas")
