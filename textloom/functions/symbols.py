@@ -21,6 +21,25 @@ def bit_at(x: Column, i: Column | int, width: int = 64) -> Column:
     return F.getbit(x, F.lit(width - 1) - i).cast("long")
 
 
+def with_bit(x: Column, i: Column | int, bit: Column | int, width: int = 64) -> Column:
+    """The word with bit i, counted from the most significant, set to 0 or 1."""
+    i = F.lit(i) if isinstance(i, int) else i
+    mask = F.call_function("shiftleft", F.lit(1).cast("long"), (F.lit(width - 1) - i).cast("int"))
+    return F.when((F.lit(bit) if isinstance(bit, int) else bit) == 1, x.bitwiseOR(mask)).otherwise(x.bitwiseAND(F.bitwise_not(mask)))
+
+
+def as_little_endian(x: Column, width: int) -> Column:
+    """The low ``width`` bytes of an integer, least first."""
+    digits = F.lpad(F.hex(x.cast("long")), 16, "0")
+    return F.unhex(F.concat(*[F.substring(digits, 15 - 2 * k, 2) for k in range(width)]))
+
+
+def from_little_endian(x: Column, width: int) -> Column:
+    """The integer of ``width`` bytes, least first."""
+    digits = F.hex(x)
+    return F.conv(F.concat(*[F.substring(digits, 2 * k - 1, 2) for k in range(width, 0, -1)]), 16, 10).cast("long")
+
+
 def as_dna(text: Column) -> Column:
     """Letters folded onto acgt, for texts that aren't sequences."""
     letters = "abcdefghijklmnopqrstuvwxyz"

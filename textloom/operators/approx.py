@@ -2,50 +2,65 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .search import literals, with_text
+from .index import windows
+from .search import literals
 
 
-def candidates(index: DataFrame, docs: DataFrame, queries: list[str], errors: int) -> DataFrame:
-    """(id, query, s, r): every substring, of a length that the errors allow, at every row."""
-    rows = with_text(index, docs).select("id", "r", "pos", "text", F.explode(literals(queries)).alias("query"))
-    spans = F.expr(f"transform(filter(sequence(greatest(1, length(query) - {errors}), length(query) + {errors}), k -> k <= length(text) - pos), k -> substring(text, cast(pos as int) + 1, k))")
-    return rows.select("id", "query", "r", F.explode(spans).alias("s"))
+def _ranged(near: DataFrame, index: DataFrame, errors: int) -> DataFrame:
+    """Ranges of the beginnings of windows (id, query, pos, part) within the errors of their query."""
+    least, most = F.greatest(F.lit(1), F.length("query") - errors), F.least(F.length("part"), F.length("query") + errors)
+    spans = near.where(least <= most).select("id", "query", "pos", F.explode(F.transform(F.sequence(least, most), lambda k: F.substring("part", F.lit(1), k))).alias("s"))
+    hits = spans.withColumn("error", F.levenshtein("s", "query", errors)).where("error >= 0").join(index.select("id", "pos", "r"), ["id", "pos"])
+    found = hits.groupBy("id", "query", "s").agg(F.min("error").cast("long").alias("error"), F.min("r").alias("l"), F.max("r").alias("r"))
+    return found.select("id", "query", "error", F.length("s").cast("long").alias("len"), "l", "r")
 
 
 def search(index: DataFrame, docs: DataFrame, queries: list[str], errors: int) -> DataFrame:
     """(id, query, error, len, l, r) of all distinct substrings within that many edits; the empty one isn't among them."""
-    found = candidates(index, docs, queries, errors).withColumn("error", F.levenshtein("s", "query", errors)).where("error >= 0")
-    return found.groupBy("id", "query", "s").agg(F.min("error").cast("long").alias("error"), F.min("r").alias("l"), F.max("r").alias("r")).select("id", "query", "error", F.length("s").cast("long").alias("len"), "l", "r")
+    width = max(map(len, queries), default=0) + errors
+    return _ranged(windows(docs, width).select("id", "pos", "part", F.explode(literals(queries)).alias("query")), index, errors)
 
 
 def search_seeded(index: DataFrame, docs: DataFrame, queries: list[str], errors: int) -> DataFrame:
-    """The same by seeds: of errors + 1 pieces of the query one occurs exactly, so only windows around such hits are verified."""
-    out = None
+    """The same by seeds: of errors + 1 pieces of the query one occurs exactly, so only what begins around a located piece is verified.
+
+    A query that is too short for its pieces is compared everywhere.
+    """
+    plain = [q for q in queries if len(q) <= errors]
+    split = {}
     for query in queries:
-        size = max(1, len(query) // (errors + 1))
-        if len(query) <= errors:
-            one = search(index, docs, [query], errors)
-        else:
+        if len(query) > errors:
+            size = len(query) // (errors + 1)
             starts = [i * size for i in range(errors + 1)]
-            pieces = [query[s : (s + size if i < errors else len(query))] for i, s in enumerate(starts)]
-            rows = with_text(index, docs)
-            # rows that may start a match: a piece stands where it can after at most ``errors`` shifts
-            test = None
-            for s, piece in zip(starts, pieces):
-                low = max(0, s - errors)
-                area = F.expr(f"substring(text, cast(pos as int) + 1 + {low}, {len(piece) + (s + errors - low)})")
-                this = F.contains(area, F.lit(piece))
-                test = this if test is None else test | this
-            near = rows.where(test).withColumn("query", F.lit(query))
-            spans = F.expr(f"transform(filter(sequence({max(1, len(query) - errors)}, {len(query) + errors}), k -> k <= length(text) - pos), k -> substring(text, cast(pos as int) + 1, k))")
-            found = near.select("id", "query", "r", F.explode(spans).alias("s")).withColumn("error", F.levenshtein("s", "query", errors)).where("error >= 0")
-            one = found.groupBy("id", "query", "s").agg(F.min("error").cast("long").alias("error"), F.min("r").alias("l"), F.max("r").alias("r")).select("id", "query", "error", F.length("s").cast("long").alias("len"), "l", "r")
-        out = one if out is None else out.unionByName(one)
-    return out
+            split[query] = [(s, query[s : (s + size if i < errors else len(query))]) for i, s in enumerate(starts)]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kinds = (pa.int64(), pa.string(), pa.int64(), pa.string())
+        for batch in batches:
+            for one, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                for query, pieces in split.items():
+                    begins: set[int] = set()
+                    for s, piece in pieces:
+                        i = text.find(piece)
+                        while i >= 0:
+                            begins.update(range(max(0, i - s - errors), i - s + errors + 1))
+                            i = text.find(piece, i + 1)
+                    at = sorted(begins)
+                    for a in range(0, len(at), 10_000):
+                        some = at[a : a + 10_000]
+                        cols = ([one] * len(some), [query] * len(some), some, [text[i : i + len(query) + errors] for i in some])
+                        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds)], names=["id", "query", "pos", "part"])
+
+    near = docs.select("id", "text").mapInArrow(run, "id long, query string, pos long, part string")
+    found = _ranged(near, index, errors)
+    return found.unionByName(search(index, docs, plain, errors)) if plain else found
 
 
 def local_minima(hits: DataFrame, index: DataFrame, errors: int) -> DataFrame:
@@ -78,6 +93,20 @@ def local_minima(hits: DataFrame, index: DataFrame, errors: int) -> DataFrame:
     return cells.where(~(reached(-1) | reached(1))).select("id", "query", "error", "len", "l", "r")
 
 
+def first_row(query: str) -> Column:
+    """The row of distances before any symbol: to each beginning of the query."""
+    return F.sequence(F.lit(0), F.lit(len(query)))
+
+
+def next_row(row: Column, symbol: Column, query: str) -> Column:
+    """One step of the edit distance: from distances to each beginning of the query, to those after one symbol more."""
+    one = F.array(row[0] + 1)
+    return F.aggregate(
+        F.sequence(F.lit(1), F.lit(len(query))) if query else F.array().cast("array<int>"), one,
+        lambda got, j: F.concat(got, F.array(F.least(F.element_at(got, -1) + 1, F.get(row, j) + 1, F.get(row, j - 1) + F.when(symbol == F.substring(F.lit(query), j, F.lit(1)), 0).otherwise(1)))),
+    )
+
+
 def edit_distances(texts: DataFrame, column: str, queries: list[str]) -> DataFrame:
     """(value, query, distance) of each distinct value of a column."""
     rows = texts.select(F.col(column).alias("value")).where("value is not null").distinct().select("value", F.explode(literals(queries)).alias("query"))

@@ -1,9 +1,12 @@
-"""Index construction: suffix arrays, the index table, alphabets, and texts back from their BWT.
+"""Index construction: suffix arrays, the index table, rank blocks, alphabets, and texts back from their BWT.
 
 The index of a text of n symbols has n + 1 rows ``(id, r, pos, ch, bw, lf, psi)``: r is the rank of the suffix that starts
 at pos (row 0 is the empty suffix), ch its first symbol, bw the symbol before it (null at the text's start), lf the row of
 the suffix one symbol longer, psi the row of the one shorter (cyclic). Symbols are code points, whose order is that of
 UTF-8 bytes.
+
+Rank blocks ``(id, block, bws, before)`` are what backward search needs: the bw column in strings of ``BLOCK`` rows and the
+count of each symbol before each block, so the rank of a symbol up to any row takes one row of them.
 """
 
 from __future__ import annotations
@@ -12,13 +15,17 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..sources.tables import cut
 
 #: Longer texts are sorted by joins over all executors instead of in one task.
 LOCAL_SYMBOLS = 2_000_000
+#: Rows of a rank block.
+BLOCK = 256
+#: Stands for the end of the text in a block's string (a code point that is no character); the row's symbol is null.
+END = "\U0010ffff"
 _ROWS = "id long, r long, pos long, ch string, bw string, lf long, psi long"
 
 
@@ -40,11 +47,15 @@ def sort_suffixes(codes: np.ndarray) -> np.ndarray:
         rank, width = new, 2 * width
 
 
+def _codes(text: str) -> np.ndarray:
+    return np.frombuffer(text.encode("utf-32-le"), "<u4")
+
+
 def _index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for one, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
             n = len(text)
-            sa = sort_suffixes(np.frombuffer(text.encode("utf-32-le"), "<u4"))
+            sa = sort_suffixes(_codes(text))
             isa = np.empty(n + 1, np.int64)
             isa[sa] = np.arange(n + 1)
             lf = np.where(sa > 0, isa[np.maximum(sa - 1, 0)], 0)
@@ -60,48 +71,84 @@ def _index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 )
 
 
-def suffixes(docs: DataFrame) -> DataFrame:
-    return docs.select("id", "text", F.explode(F.sequence(F.lit(0), F.length("text"))).alias("pos"))
+def windows(docs: DataFrame, width: int, before: int = 0) -> DataFrame:
+    """(id, pos, part) for each position from 0 to n: the ``width`` symbols from it on, ``before`` of them to its left, clamped.
 
+    A slice takes time in its own length only; SQL's substring walks from the text's start, which is quadratic in a text.
+    """
 
-def suffix_array(docs: DataFrame) -> DataFrame:
-    """(id, r, pos) by sorting suffix strings: for short texts, whose suffixes together are small."""
-    order = Window.partitionBy("id").orderBy(F.expr("substring(text, pos + 1)"))
-    return suffixes(docs).select("id", (F.row_number().over(order) - 1).cast("long").alias("r"), F.col("pos").cast("long"))
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for one, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                for a in range(0, len(text) + 1, 50_000):
+                    at = range(a, min(a + 50_000, len(text) + 1))
+                    parts = [text[max(0, i - before) : max(0, i - before + width)] for i in at]
+                    yield pa.RecordBatch.from_arrays([pa.array([one] * len(at), pa.int64()), pa.array(at, pa.int64()), pa.array(parts, pa.string())], names=["id", "pos", "part"])
+
+    return docs.select("id", "text").mapInArrow(run, "id long, pos long, part string")
 
 
-def suffix_array_doubling(docs: DataFrame) -> DataFrame:
-    """(id, r, pos) by prefix doubling over joins: for texts too long for a task. Ranks are dense counts, so no task holds a text.
+def symbols(docs: DataFrame) -> DataFrame:
+    """(id, pos, ch, next) of each position from 0 to n - 1; next is '' at the last."""
+    chars = docs.where("text <> ''").select("id", F.filter(F.split("text", ""), lambda c: c != "").alias("ch"))
+    both = chars.select("id", "ch", F.concat(F.slice("ch", F.lit(2), F.size("ch")), F.array(F.lit(""))).alias("next"))
+    at = both.select("id", F.posexplode(F.arrays_zip("ch", "next")).alias("pos", "cell"))
+    return at.select("id", F.col("pos").cast("long"), "cell.ch", "cell.next")
 
-    A round ranks (rank, rank of the suffix width later) by sorting all rows by range, counting distinct keys by partition
-    and adding the partitions' totals.
+
+def running(rows: DataFrame, order: list[str], value: str, out: str) -> DataFrame:
+    """Rows with the sum of a column over the rows of their id that come before them in order.
+
+    Rows are dealt by ranges of (id, order) and summed within each range; the totals of ranges are summed in turn. So no
+    task holds an id, however long.
     """
-    at = suffixes(docs)
-    now = cut(at.select("id", F.col("pos").cast("long"), F.when(F.col("pos") < F.length("text"), F.ascii(F.expr("substring(text, pos + 1, 1)")) + 1).otherwise(0).cast("long").alias("rk")))
-    width = 1
-    while True:
+    ranged = cut(rows.repartitionByRange("id", *order).withColumn("_range", F.spark_partition_id()))
+    above = Window.partitionBy("id", "_range").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    total = ranged.groupBy("id", "_range").agg(F.sum(value).alias("_total"))
+    base = total.select("id", "_range", F.sum("_total").over(Window.partitionBy("id").orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)).alias("_base"))
+    summed = ranged.withColumn("_above", F.sum(value).over(above)).join(base, ["id", "_range"])
+    return summed.withColumn(out, F.coalesce("_above", F.lit(0)) + F.coalesce("_base", F.lit(0))).drop("_range", "_above", "_base")
+
+
+def suffix_array_doubling(docs: DataFrame, width: int = 1) -> DataFrame:
+    """(id, r, pos) by prefix doubling over joins: for texts too long for a task. It starts from prefixes of ``width`` symbols.
+
+    A round ranks (rank, rank of the suffix width later): a key's rank is how many suffixes have smaller keys, a running sum
+    over ranges of keys. A suffix that is alone with its rank keeps it.
+    """
+    first = windows(docs, width).groupBy("id", "part").agg(F.count("*").alias("many"))
+    ranks = running(first, ["part"], "many", "rk").select("id", "part", "rk", "many")
+    now = cut(windows(docs, width).join(ranks, ["id", "part"]).select("id", "pos", "rk", "many"))
+    while now.where("many > 1").head(1):
         later = now.select("id", (F.col("pos") - width).alias("pos"), F.col("rk").alias("next"))
-        keyed = now.join(later, ["id", "pos"], "left").select("id", "pos", "rk", F.coalesce("next", F.lit(-1)).alias("next"))
-        # the rank of a key is the number of suffixes with smaller keys: sums over keys, then over ranges of keys
-        keys = keyed.groupBy("id", "rk", "next").agg(F.count("*").alias("many"))
-        ranked = keys.withColumn("new", F.sum("many").over(Window.partitionBy("id", "rk").orderBy("next").rowsBetween(Window.unboundedPreceding, -1)))
-        heads = keys.groupBy("id", "rk").agg(F.sum("many").alias("all"))
-        heads = heads.select("id", "rk", F.sum("all").over(Window.partitionBy("id").orderBy("rk").rowsBetween(Window.unboundedPreceding, -1)).alias("base"))
-        table = ranked.join(heads, ["id", "rk"]).select("id", "rk", "next", "many", (F.coalesce("base", F.lit(0)) + F.coalesce("new", F.lit(0))).alias("r"))
-        now = cut(keyed.join(table, ["id", "rk", "next"]).select("id", "pos", F.col("r").alias("rk"), "many"))
-        if not now.where("many > 1").head(1):
-            return now.select("id", F.col("rk").alias("r"), "pos")
-        now, width = now.drop("many"), 2 * width
+        open_ = now.where("many > 1").join(later, ["id", "pos"], "left").select("id", "pos", "rk", F.coalesce("next", F.lit(-1)).alias("next"))
+        # within a rank, keys are told apart by what comes later: the new rank is the old one plus the smaller keys of the rank
+        keys = open_.groupBy("id", "rk", "next").agg(F.count("*").alias("many"))
+        summed = running(keys, ["rk", "next"], "many", "above")
+        least = summed.groupBy("id", "rk").agg(F.min("above").alias("start"))
+        table = summed.join(least, ["id", "rk"]).select("id", "rk", "next", "many", (F.col("rk") + F.col("above") - F.col("start")).alias("r"))
+        done = now.where("many = 1").select("id", "pos", "rk", "many")
+        now = cut(done.unionByName(open_.join(table, ["id", "rk", "next"]).select("id", "pos", F.col("r").alias("rk"), "many")))
+        width *= 2
+    return now.select("id", F.col("rk").alias("r"), "pos")
+
+
+def suffix_array(docs: DataFrame) -> DataFrame:
+    """(id, r, pos) by sorting prefixes of sixteen symbols, ties by doubling."""
+    return suffix_array_doubling(docs, 16)
 
 
 def finish(sa: DataFrame, docs: DataFrame) -> DataFrame:
-    """The index table of a suffix array made by joins."""
-    by_pos = Window.partitionBy("id").orderBy("pos")
-    symbol = suffixes(docs).select("id", F.col("pos").cast("long"), F.expr("nullif(substring(text, pos + 1, 1), '')").alias("ch"))
-    return sa.join(symbol, ["id", "pos"]).select(
-        "id", "r", "pos", "ch", F.lag("ch").over(by_pos).alias("bw"), F.coalesce(F.lag("r").over(by_pos), F.lit(0)).alias("lf"),
-        F.coalesce(F.lead("r").over(by_pos), F.first("r").over(by_pos)).alias("psi"),
-    )
+    """The index table of a suffix array made by joins: neighbours in the text by position, without a window over a text."""
+    sa = cut(sa.select("id", "r", "pos"))
+    cells = symbols(docs)
+    length = docs.select("id", F.length("text").cast("long").alias("n"))
+    left = sa.select("id", (F.col("pos") + 1).alias("pos"), F.col("r").alias("lf"))
+    right = sa.join(length, "id").select("id", F.when(F.col("pos") == 0, F.col("n")).otherwise(F.col("pos") - 1).alias("pos"), F.col("r").alias("psi"))
+    here = cells.select("id", "pos", "ch")
+    before = cells.select("id", (F.col("pos") + 1).alias("pos"), F.col("ch").alias("bw"))
+    out = sa.join(here, ["id", "pos"], "left").join(before, ["id", "pos"], "left").join(left, ["id", "pos"], "left").join(right, ["id", "pos"])
+    return out.select("id", "r", "pos", "ch", "bw", F.coalesce("lf", F.lit(0)).alias("lf"), "psi")
 
 
 def build_index(docs: DataFrame) -> DataFrame:
@@ -113,20 +160,68 @@ def build_index_any(docs: DataFrame) -> DataFrame:
     """As build_index, with texts over LOCAL_SYMBOLS sorted across executors."""
     long = docs.where(F.length("text") > LOCAL_SYMBOLS)
     short = build_index(docs.where(F.length("text") <= LOCAL_SYMBOLS))
-    return short.unionByName(finish(suffix_array_doubling(long), long)) if long.head(1) else short
+    return short.unionByName(finish(suffix_array_doubling(long, 16), long)) if long.head(1) else short
+
+
+def symbol_freq(docs: DataFrame) -> DataFrame:
+    """(id, sym, freq), counted inside each text's row."""
+    distinct = F.filter(F.array_distinct(F.split("text", "")), lambda c: c != "")
+    cells = F.transform(distinct, lambda c: F.struct(c.alias("sym"), (F.length("text") - F.length(F.replace(F.col("text"), c, F.lit("")))).cast("long").alias("freq")))
+    return docs.select("id", F.inline(cells))
 
 
 def alphabet(docs: DataFrame) -> DataFrame:
     """(id, sym, code, freq, k_start): codes by ascending symbol; k_start is the first row whose suffix starts with sym."""
-    symbols = docs.select("id", F.explode(F.split("text", "")).alias("sym")).where("sym <> ''")
-    order = Window.partitionBy("id").orderBy("sym")
-    freq = symbols.groupBy("id", "sym").agg(F.count("*").alias("freq"))
+    order = Window.partitionBy("id").orderBy("sym")  # as many rows as a text has distinct symbols
+    freq = symbol_freq(docs)
     return freq.select("id", "sym", (F.row_number().over(order) - 1).cast("long").alias("code"), "freq", (1 + F.sum("freq").over(order.rowsBetween(Window.unboundedPreceding, 0)) - F.col("freq")).alias("k_start"))
 
 
+def rank_directory(index: DataFrame, block: int) -> DataFrame:
+    """(id, block, sym, before, here): how often each symbol occurs in bw before each block of rows, and in it."""
+    cell = index.where("bw is not null").select("id", F.floor(F.col("r") / block).alias("block"), F.col("bw").alias("sym"))
+    sums = cell.groupBy("id", "sym", "block").agg(F.count("*").alias("here"))
+    order = Window.partitionBy("id", "sym").orderBy("block").rowsBetween(Window.unboundedPreceding, 0)
+    return sums.select("id", "block", "sym", (F.sum("here").over(order) - F.col("here")).alias("before"), "here")
+
+
+def rank_blocks(index: DataFrame) -> DataFrame:
+    """(id, block, bws, before): bw in strings of ``BLOCK`` rows, and each symbol's count before the block."""
+    block = F.floor(F.col("r") / BLOCK).alias("block")
+    cells = F.array_sort(F.collect_list(F.struct("r", F.coalesce("bw", F.lit(END)).alias("bw"))))
+    strings = index.groupBy("id", block).agg(F.array_join(F.transform(cells, lambda x: x["bw"]), "").alias("bws"))
+    here = rank_directory(index, BLOCK)
+    # a symbol's count before a block is that of the next block at or before which has it, so it is told to every block after
+    last = strings.groupBy("id").agg(F.max("block").alias("last"))
+    following = Window.partitionBy("id", "sym").orderBy("block")
+    spread = here.select("id", "sym", "block", (F.col("before") + F.col("here")).alias("after"), F.lead("block").over(following).alias("next")).join(last, "id")
+    upto = F.least(F.coalesce("next", "last"), "last")
+    told = spread.where(F.col("block") < upto).select("id", "sym", "after", F.explode(F.sequence(F.col("block") + 1, upto)).alias("block"))
+    maps = told.groupBy("id", "block").agg(F.map_from_entries(F.collect_list(F.struct("sym", "after"))).alias("before"))
+    return strings.join(maps, ["id", "block"], "left").select("id", "block", "bws", F.coalesce("before", F.create_map().cast("map<string,long>")).alias("before"))
+
+
+def heads(index: DataFrame) -> DataFrame:
+    """(id, n, starts): a text's length and the first row of each of its symbols."""
+    first = index.where("ch is not null").groupBy("id", "ch").agg(F.min("r").alias("start"))
+    starts = first.groupBy("id").agg(F.map_from_entries(F.collect_list(F.struct("ch", "start"))).alias("starts"))
+    length = index.groupBy("id").agg((F.count("*") - 1).alias("n"))
+    return length.join(starts, "id", "left").select("id", "n", F.coalesce("starts", F.create_map().cast("map<string,long>")).alias("starts"))
+
+
+def rank_in(bws: Column, before: Column, row: Column, symbol: Column) -> Column:
+    """How often a symbol occurs in bw up to and with a row, from the row's block; 0 where the block is missing (row -1)."""
+    part = F.substring(bws, F.lit(1), (F.pmod(row, F.lit(BLOCK)) + 1).cast("int"))
+    return F.coalesce(F.element_at(before, symbol), F.lit(0)) + F.coalesce(F.length(part) - F.length(F.replace(part, symbol, F.lit(""))), F.lit(0))
+
+
 def bw_ranked(index: DataFrame) -> DataFrame:
-    """bw with its inclusive rank among equal symbols."""
-    return index.where("bw is not null").select("id", "r", "bw", F.row_number().over(Window.partitionBy("id", "bw").orderBy("r")).cast("long").alias("bw_rank"))
+    """bw with its inclusive rank among equal symbols: the count before the row's block and a count within it."""
+    block = F.floor(F.col("r") / BLOCK)
+    here = Window.partitionBy("id", "bw", "block").orderBy("r")
+    rows = index.where("bw is not null").select("id", "r", "bw", block.alias("block"))
+    base = rank_directory(index, BLOCK).select("id", F.col("sym").alias("bw"), "block", "before")
+    return rows.withColumn("k", F.row_number().over(here)).join(base, ["id", "bw", "block"]).select("id", "r", "bw", (F.col("before") + F.col("k")).alias("bw_rank"))
 
 
 def lf_from_bwt(bwt: DataFrame) -> DataFrame:
@@ -165,9 +260,17 @@ def unbwt(index: DataFrame) -> DataFrame:
     return index.groupBy("id").agg(F.array_join(F.transform(F.array_sort(cells), lambda x: x["c"]), "").alias("text"))
 
 
-def rank_directory(index: DataFrame, block: int) -> DataFrame:
-    """(id, block, sym, before): how often each symbol occurs in bw before each block of rows."""
-    cell = index.where("bw is not null").select("id", F.floor(F.col("r") / block).alias("block"), F.col("bw").alias("sym"))
-    sums = cell.groupBy("id", "sym", "block").agg(F.count("*").alias("here"))
-    order = Window.partitionBy("id", "sym").orderBy("block").rowsBetween(Window.unboundedPreceding, 0)
-    return sums.select("id", "block", "sym", (F.sum("here").over(order) - F.col("here")).alias("before"), "here")
+def sizes(index: DataFrame) -> DataFrame:
+    """(id, n_rows, bw_bytes, index_bytes): rows of each index, bytes of its bw column alone, and of all its columns uncompressed."""
+    bw = F.coalesce(F.octet_length("bw"), F.lit(0))
+    return index.groupBy("id").agg(
+        F.count("*").alias("n_rows"), F.sum(bw).cast("long").alias("bw_bytes"), F.sum(bw + F.coalesce(F.octet_length("ch"), F.lit(0)) + 40).cast("long").alias("index_bytes")
+    )
+
+
+def check(index: DataFrame) -> DataFrame:
+    """(id, wrong): how many rows break one of lf(psi(r)) = r, pos(psi(r)) = pos + 1, ch(r) = bw(psi(r)); 0 for a sound index."""
+    via = index.select("id", F.col("r").alias("psi"), F.col("lf").alias("back"), F.col("pos").alias("later"), F.col("bw").alias("here"))
+    met = index.join(via, ["id", "psi"], "left")
+    good = F.coalesce((F.col("back") == F.col("r")) & (F.col("later") == F.when(F.col("ch").isNull(), 0).otherwise(F.col("pos") + 1)) & F.col("ch").eqNullSafe(F.col("here")), F.lit(False))
+    return met.groupBy("id").agg(F.count(F.when(~good, 1)).alias("wrong"))

@@ -63,11 +63,22 @@ def sparse(vector: DataFrame) -> DataFrame:
     return ones.select("id", F.row_number().over(Window.partitionBy("id").orderBy("i")).cast("long").alias("k"), F.col("i").alias("pos"))
 
 
-def sparse_rank(ones: DataFrame, at: list[int]) -> DataFrame:
-    """(id, i, rank1) at the given positions from the ones alone; ids without ones are absent."""
+def sparse_rank(ones: DataFrame, at: list[int], ids: DataFrame) -> DataFrame:
+    """(id, i, rank1) at the given positions from the ones alone, for each of the ids; an id without ones has rank 0."""
     cells = [F.count(F.when(F.col("pos") <= i, 1)).alias(f"r{n}") for n, i in enumerate(at)]
-    wide = ones.groupBy("id").agg(*cells)
-    return wide.select("id", F.inline(F.array(*[F.struct(F.lit(i).cast("long").alias("i"), F.col(f"r{n}").alias("rank1")) for n, i in enumerate(at)])))
+    wide = ids.select("id").distinct().join(ones.groupBy("id").agg(*cells), "id", "left")
+    return wide.select("id", F.inline(F.array(*[F.struct(F.lit(i).cast("long").alias("i"), F.coalesce(f"r{n}", F.lit(0)).alias("rank1")) for n, i in enumerate(at)])))
+
+
+def check(seq: DataFrame) -> DataFrame:
+    """(id, wrong): how many positions disagree between access, rank and select over a whole sequence; 0 if it is sound."""
+    # select(rank(i), sym) must lead back to i, and each rank be one more than that of the symbol's place before
+    before = Window.partitionBy("id", "sym").orderBy("i")
+    ranked = rank_access(seq).withColumn("step", F.col("rank") - F.coalesce(F.lag("rank").over(before), F.lit(0)))
+    found = rank_access(seq).toDF("id", "place", "sym", "rank")
+    met = ranked.join(found, ["id", "sym", "rank"], "left")
+    good = F.coalesce((F.col("place") == F.col("i")) & (F.col("step") == 1), F.lit(False))
+    return met.groupBy("id").agg(F.count(F.when(~good, 1)).alias("wrong"))
 
 
 def code_lengths(freq: list[tuple[str, int]], most: int = 32) -> dict[str, int]:

@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
+from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import symbols as fn
-from ..operators import approx, index, mining, search, sequence, tree
+from ..operators import approx, index, mining, navigate, search, sequence, tree
+from ..sources import tables
 from ..sources.tables import texts
 
 PATTERNS = ["en", "aa", "the", "eine", "ere", "zqzq"]
@@ -43,9 +46,51 @@ def corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
     return texts(table(spark, sf_dir, "documents"), "doc_id", "text")
 
 
+@dataclass(frozen=True)
+class Stored:
+    """A collection with its index, rank blocks and common prefixes, written once a session and read by every query on it."""
+
+    docs: DataFrame
+    index: DataFrame
+    ranks: search.Ranks
+    lcp: DataFrame
+
+
+_STORED: dict[tuple[str, str, str], Stored] = {}
+
+
+def stored(spark: SparkSession, sf_dir: str, name: str, docs: DataFrame) -> Stored:
+    key = (spark.sparkContext.applicationId, sf_dir, name)
+    if key not in _STORED:
+        root = f"{tables.shared_dir(spark)}/textloom-index-{uuid.uuid4().hex[:12]}"
+        tables.save_index(index.build_index_any(docs), f"{root}/index")
+        built = tables.load_index(spark, f"{root}/index")
+        known = search.ranks(built)
+        tables.save_index(known.blocks, f"{root}/blocks", order="block")
+        tables.save_index(known.heads, f"{root}/heads", order="n")
+        tables.save_index(tree.lcp_array(built, docs), f"{root}/lcp")
+        blocks, heads, lcp = (tables.load_index(spark, f"{root}/{x}") for x in ("blocks", "heads", "lcp"))
+        _STORED[key] = Stored(docs, built, search.Ranks(blocks, heads), lcp)
+    return _STORED[key]
+
+
+def held(spark: SparkSession, sf_dir: str) -> Stored:
+    return stored(spark, sf_dir, "benchmark", bench(spark, sf_dir))
+
+
+def held_corpus(spark: SparkSession, sf_dir: str) -> Stored:
+    return stored(spark, sf_dir, "documents", corpus(spark, sf_dir))
+
+
 def indexed(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    docs = bench(spark, sf_dir)
-    return index.build_index(docs), docs
+    s = held(spark, sf_dir)
+    return s.index, s.docs
+
+
+def found(spark: SparkSession, sf_dir: str) -> tuple[Stored, DataFrame]:
+    """The stored index and the nodes of KEYS."""
+    s = held(spark, sf_dir)
+    return s, search.nodes(s.index, s.docs, KEYS, s.ranks)
 
 
 def dna(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -89,18 +134,18 @@ freq AS (SELECT gram, count(*) AS occ, count(DISTINCT nullif(next, '')) AS nexts
 
 @query(IDX + " SELECT id, count(*) AS n_rows, max(CASE WHEN bw IS NULL THEN r END) AS last, count(DISTINCT bw) AS n_symbols FROM idx GROUP BY id")
 def build_index_stats(spark, sf_dir):
-    i, _ = indexed(spark, sf_dir)
+    i = index.build_index(bench(spark, sf_dir))
     return i.groupBy("id").agg(F.count("*").alias("n_rows"), F.max(F.when(F.col("bw").isNull(), F.col("r"))).alias("last"), F.countDistinct("bw").alias("n_symbols"))
 
 
 @query(IDX + " SELECT id, r, pos FROM idx WHERE r % 16 = 0")
 def sa_sample(spark, sf_dir):
-    return indexed(spark, sf_dir)[0].where("r % 16 = 0").select("id", "r", "pos")
+    return navigate.sample(indexed(spark, sf_dir)[0], 16)
 
 
 @query(IDX + " SELECT id, r, pos FROM idx")
 def suffix_array(spark, sf_dir):
-    return indexed(spark, sf_dir)[0].select("id", "r", "pos")
+    return index.build_index(bench(spark, sf_dir)).select("id", "r", "pos")
 
 
 @query(IDX + " SELECT id, r, pos FROM idx")
@@ -141,12 +186,12 @@ def rank_directory(spark, sf_dir):
     return index.rank_directory(indexed(spark, sf_dir)[0], 64)
 
 
-@query("SELECT item_id AS id, text FROM benchmark WHERE text <> ''")
+@query("SELECT item_id AS id, text FROM benchmark WHERE text IS NOT NULL")
 def inverse_bwt(spark, sf_dir):
     return index.inverse_bwt(indexed(spark, sf_dir)[0].select("id", "r", "bw"))
 
 
-@query("SELECT item_id AS id, text FROM benchmark WHERE text <> ''")
+@query("SELECT item_id AS id, text FROM benchmark WHERE text IS NOT NULL")
 def unbwt_roundtrip(spark, sf_dir):
     return index.unbwt(indexed(spark, sf_dir)[0])
 
@@ -191,8 +236,7 @@ def ctoa(spark, sf_dir):
 
 @query("SELECT doc_id AS id, sym, count(*) AS freq FROM (SELECT doc_id, unnest(string_split(text, '')) AS sym FROM documents) WHERE sym <> '' GROUP BY ALL")
 def symbol_freq(spark, sf_dir):
-    cells = corpus(spark, sf_dir).select("id", F.explode(F.split("text", "")).alias("sym")).where("sym <> ''")
-    return cells.groupBy("id", "sym").agg(F.count("*").alias("freq"))
+    return index.symbol_freq(corpus(spark, sf_dir))
 
 
 @query(ALPHABET + " SELECT id, sym, k_start FROM alphabet")
@@ -212,12 +256,12 @@ def entropy_h0(spark, sf_dir):
 
 @query(IDX + " SELECT id, r, pos FROM idx WHERE r IN (0, 1, 7, 50)")
 def lookup(spark, sf_dir):
-    return indexed(spark, sf_dir)[0].where(F.col("r").isin(0, 1, 7, 50)).select("id", "r", "pos")
+    return navigate.lookup(indexed(spark, sf_dir)[0], [0, 1, 7, 50])
 
 
 @query(IDX + " SELECT id, pos, r FROM idx WHERE pos IN (0, 1, 7, 50)")
 def inverse(spark, sf_dir):
-    return indexed(spark, sf_dir)[0].where(F.col("pos").isin(0, 1, 7, 50)).select("id", "pos", "r")
+    return navigate.inverse(indexed(spark, sf_dir)[0], [0, 1, 7, 50])
 
 
 @query(IDX + " SELECT id, r, bw, row_number() OVER (PARTITION BY id, bw ORDER BY r) AS bw_rank FROM idx WHERE bw IS NOT NULL")
@@ -243,24 +287,22 @@ def psi(spark, sf_dir):
 
 @query(IDX + " SELECT id, min(r) AS row_found FROM idx WHERE r BETWEEN 5 AND 60 AND psi >= 20 GROUP BY id")
 def psi_succ(spark, sf_dir):
-    return indexed(spark, sf_dir)[0].where("r between 5 and 60 and psi >= 20").groupBy("id").agg(F.min("r").alias("row_found"))
+    return navigate.psi_succ(indexed(spark, sf_dir)[0], 5, 60, 20)
 
 
 @query(IDX + " SELECT id, max(r) AS row_found FROM idx WHERE r BETWEEN 5 AND 60 AND psi <= 20 GROUP BY id")
 def psi_pred(spark, sf_dir):
-    return indexed(spark, sf_dir)[0].where("r between 5 and 60 and psi <= 20").groupBy("id").agg(F.max("r").alias("row_found"))
+    return navigate.psi_pred(indexed(spark, sf_dir)[0], 5, 60, 20)
 
 
 @query(IDX + " SELECT id, r, count(CASE WHEN bw = 'e' THEN 1 END) OVER (PARTITION BY id ORDER BY r ROWS UNBOUNDED PRECEDING) AS occ FROM idx")
 def rankc(spark, sf_dir):
-    i, _ = indexed(spark, sf_dir)
-    order = Window.partitionBy("id").orderBy("r").rowsBetween(Window.unboundedPreceding, 0)
-    return i.select("id", "r", F.count(F.when(F.col("bw") == "e", 1)).over(order).alias("occ"))
+    return navigate.rankc(indexed(spark, sf_dir)[0], "e")
 
 
 @query(IDX + ", n AS (SELECT id, r, bw, row_number() OVER (PARTITION BY id, bw ORDER BY r) AS k FROM idx WHERE bw IS NOT NULL) SELECT id, bw, r FROM n WHERE k = 3")
 def selectc(spark, sf_dir):
-    return index.bw_ranked(indexed(spark, sf_dir)[0]).where("bw_rank = 3").select("id", "bw", "r")
+    return navigate.selectc(index.bw_ranked(indexed(spark, sf_dir)[0]), 3)
 
 
 @query(ALPHABET + _IDX.format(docs="docs") + " SELECT i.id, r, code FROM idx i LEFT JOIN alphabet a ON i.id = a.id AND i.ch = a.sym")
@@ -275,36 +317,70 @@ def t_of_rank(spark, sf_dir):
     return indexed(spark, sf_dir)[0].select("id", "r", "ch")
 
 
+@query(IDX + " SELECT id, r, pos FROM idx WHERE pos % 16 = 0")
+def isa_sample(spark, sf_dir):
+    return navigate.sample(indexed(spark, sf_dir)[0], 16, "pos")
+
+
+@query(IDX + ", p AS (SELECT unnest([CAST(0 AS BIGINT), 20, 100]) AS q, unnest(['e', 't', 'e']) AS sym) SELECT i.id, q AS r, sym, count(CASE WHEN bw = sym THEN 1 END) AS occ FROM idx i JOIN p ON i.r <= q JOIN (SELECT id, max(r) AS n FROM idx GROUP BY id) m ON m.id = i.id AND q <= n GROUP BY ALL")
+def rank_at(spark, sf_dir):
+    """By one row of the rank blocks each."""
+    s = held(spark, sf_dir)
+    return navigate.rank_at(s.index, [(0, "e"), (20, "t"), (100, "e")], s.ranks)
+
+
+@query(IDX + " SELECT id, count(*) AS n_rows, CAST(sum(coalesce(strlen(bw), 0)) AS BIGINT) AS bw_bytes, CAST(sum(coalesce(strlen(bw), 0) + coalesce(strlen(ch), 0) + 40) AS BIGINT) AS index_bytes FROM idx GROUP BY id")
+def index_sizes(spark, sf_dir):
+    return index.sizes(indexed(spark, sf_dir)[0])
+
+
+@query(f"WITH {DOCS} SELECT id, CAST(0 AS BIGINT) AS wrong FROM docs")
+def index_check(spark, sf_dir):
+    return index.check(indexed(spark, sf_dir)[0])
+
+
+@query(IDX + " SELECT id, r, pos, ch, bw, lf, psi FROM idx")
+def index_read(spark, sf_dir):
+    """The stored index, read again, with every column."""
+    return indexed(spark, sf_dir)[0].select("id", "r", "pos", "ch", "bw", "lf", "psi")
+
+
+@query(IDX + ", a AS (SELECT id, string_agg(bw, '' ORDER BY r) AS symbols, max(CASE WHEN bw IS NULL THEN r END) AS last FROM idx GROUP BY id) SELECT id, coalesce(symbols, '') AS symbols, last FROM a")
+def bwt_write(spark, sf_dir):
+    """What BWT files of four-byte symbols hold, read back."""
+    wrote = tables.bwt_bytes(indexed(spark, sf_dir)[0].select("id", "r", "bw"), 4)
+    codes = F.transform(F.sequence(F.lit(0), (F.octet_length("symbols") / 4).cast("int") - 1), lambda i: fn.from_code_point(fn.from_little_endian(F.substring("symbols", 4 * i + 1, F.lit(4)), 4)))
+    return wrote.select("id", F.when(F.octet_length("symbols") > 0, F.array_join(codes, "")).otherwise("").alias("symbols"), "last")
+
+
 # ---- extraction
 
 
 @query("SELECT doc_id AS id, substring(text, 11, 20) AS part FROM documents WHERE text IS NOT NULL")
 def text_range(spark, sf_dir):
-    return corpus(spark, sf_dir).select("id", F.substring("text", 11, 20).alias("part"))
+    return navigate.text_range(corpus(spark, sf_dir), 10, 29)
 
 
 @query(IDX + " SELECT id, r, substring(text, pos + 1, 8) AS part FROM idx")
 def substring_rank(spark, sf_dir):
-    i, docs = indexed(spark, sf_dir)
-    return search.with_text(i, docs).select("id", "r", F.expr("substring(text, cast(pos as int) + 1, 8)").alias("part"))
+    return navigate.substring_rank(*indexed(spark, sf_dir), 8)
 
 
 @query(IDX + " SELECT id, r, substring(text, greatest(pos - 8, 0) + 1, least(pos, 8)) AS part FROM idx")
 def left_context(spark, sf_dir):
-    i, docs = indexed(spark, sf_dir)
-    return search.with_text(i, docs).select("id", "r", F.expr("substring(text, cast(greatest(pos - 8, 0) as int) + 1, cast(least(pos, 8) as int))").alias("part"))
+    return navigate.left_context(*indexed(spark, sf_dir), 8)
 
 
 @query("SELECT doc_id AS id, substring(text, 101, least(160, length(text) - 1) - 100 + 1) AS part FROM documents WHERE length(text) > 100")
 def extract(spark, sf_dir):
-    return corpus(spark, sf_dir).where("length(text) > 100").select("id", F.expr("substring(text, 101, least(160, length(text) - 1) - 100 + 1)").alias("part"))
+    return navigate.extract(corpus(spark, sf_dir), 100, 160)
 
 
 @query(IDX + f""", hit AS (SELECT id, pattern, r, pos, row_number() OVER (PARTITION BY id, pattern ORDER BY r) AS k, regexp_replace(substring(text, pos + 1, 21), '[ \\t\\n\\r\\f\\v]', ' ', 'g') AS context
 FROM idx, {_values(PATTERNS, "pattern")} p WHERE starts_with(substring(text, pos + 1), pattern)) SELECT id, pattern, k, r, pos, context FROM hit WHERE k <= 21""")
 def kwic_top20(spark, sf_dir):
-    i, docs = indexed(spark, sf_dir)
-    return search.first_hits(i, docs, PATTERNS, 21, 21)
+    s = held(spark, sf_dir)
+    return search.first_hits(s.index, s.docs, PATTERNS, 21, 21, s.ranks)
 
 
 @query(f"""WITH {DOCS}, hit AS (SELECT id, text, pattern, unnest(list_filter(range(0, length(text)), lambda i: substring(text, i + 1, length(pattern)) = pattern)) AS pos FROM docs, {_values(PATTERNS, "pattern")} p)
@@ -316,11 +392,7 @@ def kwic_two_sided(spark, sf_dir):
 @query(f"""WITH {DOCS}, hit AS (SELECT id, text, pattern, unnest(list_filter(range(0, length(text)), lambda i: substring(text, i + 1, length(pattern)) = pattern)) AS pos FROM docs, {_values(PATTERNS, "pattern")} p)
 SELECT id, pattern, pos, substring(text, greatest(pos - 12, 0) + 1, least(pos, 12) + length(pattern) + 12) AS context FROM hit""")
 def display_context(spark, sf_dir):
-    parts = [search.contexts(bench(spark, sf_dir), [p], 12, len(p) + 12) for p in PATTERNS]
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+    return search.contexts(bench(spark, sf_dir), PATTERNS, 12, 0, past=12)
 
 
 # ---- search
@@ -328,7 +400,8 @@ def display_context(spark, sf_dir):
 
 @query(IDX + f" SELECT id, pattern, min(r) AS l, max(r) AS r FROM idx, {_values(PATTERNS, 'pattern')} p WHERE starts_with(substring(text, pos + 1), pattern) GROUP BY id, pattern")
 def search_range(spark, sf_dir):
-    return search.search_range(*indexed(spark, sf_dir), PATTERNS)
+    s = held(spark, sf_dir)
+    return search.search_range(s.index, s.docs, PATTERNS, s.ranks)
 
 
 @query(f"WITH {DOCS} SELECT id, pattern, max(k) AS matched FROM (SELECT id, text, pattern, unnest(range(0, length(pattern) + 1)) AS k FROM docs, {_values(PATTERNS, 'pattern')} p) WHERE contains(text, right(pattern, k)) GROUP BY id, pattern")
@@ -338,14 +411,14 @@ def max_match_len(spark, sf_dir):
 
 @query(NODES + " SELECT n.id, n.key, bw AS sym, min(lf) AS l, max(lf) AS r FROM nodes n JOIN idx i ON n.id = i.id AND i.r BETWEEN n.l AND n.r WHERE bw = 't' GROUP BY ALL")
 def search_l(spark, sf_dir):
-    i, docs = indexed(spark, sf_dir)
-    return search.search_left(search.nodes(i, docs, KEYS), i, "t")
+    s, nodes = found(spark, sf_dir)
+    return search.search_left(nodes, s.index, "t", s.ranks)
 
 
 @query(NODES + " SELECT n.id, n.key, substring(text, pos + depth + 1, 1) AS sym, min(i.r) AS l, max(i.r) AS r FROM nodes n JOIN idx i ON n.id = i.id AND i.r BETWEEN n.l AND n.r WHERE substring(text, pos + depth + 1, 1) = 'e' GROUP BY ALL")
 def search_r(spark, sf_dir):
-    i, docs = indexed(spark, sf_dir)
-    return search.search_right(search.nodes(i, docs, KEYS), i, docs, "e")
+    s, nodes = found(spark, sf_dir)
+    return search.search_right(nodes, s.index, symbol="e")
 
 
 @query(WIN + f" SELECT d.doc_id AS id, p.pattern, count(h.pos) AS occ FROM documents d CROSS JOIN {_values(PATTERNS, 'pattern')} p LEFT JOIN hits h ON d.doc_id = h.id AND h.pattern = p.pattern WHERE d.text IS NOT NULL GROUP BY ALL")
@@ -363,19 +436,49 @@ def proximity(spark, sf_dir):
     return search.proximity(corpus(spark, sf_dir), "the", "ere", 10)
 
 
+#: Rows of documents' suffixes before a pattern: positions (the end of the text too) whose windows are smaller.
+WIN_RANGE = WIN + f""", sums AS (SELECT id, pattern, count(CASE WHEN left(s, length(pattern)) < pattern THEN 1 END) AS before, count(CASE WHEN starts_with(s, pattern) THEN 1 END) AS occ FROM win, {_values(PATTERNS, "pattern")} p GROUP BY id, pattern)
+SELECT id, pattern, 1 + before AS l, before + occ AS r FROM sums WHERE occ > 0"""
+
+
+@query(WIN_RANGE)
+def search_range_documents(spark, sf_dir):
+    """Backward search over the index of whole documents."""
+    s = held_corpus(spark, sf_dir)
+    return search.search_range(s.index, s.docs, PATTERNS, s.ranks)
+
+
+@query(WIN + " SELECT id, pattern, pos, concat(substring(text, greatest(pos - 20, 0) + 1, least(pos, 20)), substring(text, pos + 1, 21)) AS context FROM hits JOIN (SELECT doc_id, text FROM documents) d ON d.doc_id = hits.id")
+def kwic_documents(spark, sf_dir):
+    return search.contexts(corpus(spark, sf_dir), PATTERNS, 20, 21)
+
+
+@query(f"SELECT doc_id AS id, pattern, max(k) AS matched FROM (SELECT doc_id, text, pattern, unnest(range(0, length(pattern) + 1)) AS k FROM documents, {_values(PATTERNS, 'pattern')} p WHERE text IS NOT NULL) WHERE contains(text, right(pattern, k)) GROUP BY doc_id, pattern")
+def max_match_documents(spark, sf_dir):
+    return search.max_match(corpus(spark, sf_dir), PATTERNS)
+
+
 # ---- children and mining
 
 
+@query(NODES + """ SELECT n.id, n.key, true AS is_left, bw AS sym, min(lf) AS l, max(lf) AS r FROM nodes n JOIN idx i ON n.id = i.id AND i.r BETWEEN n.l AND n.r WHERE bw IS NOT NULL GROUP BY ALL
+UNION ALL SELECT n.id, n.key, false, substring(text, pos + depth + 1, 1), min(i.r), max(i.r) FROM nodes n JOIN idx i ON n.id = i.id AND i.r BETWEEN n.l AND n.r WHERE substring(text, pos + depth + 1, 1) <> '' GROUP BY ALL""")
+def child(spark, sf_dir):
+    s, nodes = found(spark, sf_dir)
+    sides = [search.child(nodes, s.index, left, s.ranks).withColumn("is_left", F.lit(left)) for left in (True, False)]
+    return sides[0].unionByName(sides[1])
+
+
 @query(NODES + " SELECT n.id, n.key, bw AS sym, min(lf) AS l, max(lf) AS r FROM nodes n JOIN idx i ON n.id = i.id AND i.r BETWEEN n.l AND n.r WHERE bw IS NOT NULL GROUP BY ALL")
 def child_l(spark, sf_dir):
-    i, docs = indexed(spark, sf_dir)
-    return search.search_left(search.nodes(i, docs, KEYS), i)
+    s, nodes = found(spark, sf_dir)
+    return search.search_left(nodes, s.index, known=s.ranks)
 
 
 @query(NODES + " SELECT n.id, n.key, substring(text, pos + depth + 1, 1) AS sym, min(i.r) AS l, max(i.r) AS r FROM nodes n JOIN idx i ON n.id = i.id AND i.r BETWEEN n.l AND n.r WHERE substring(text, pos + depth + 1, 1) <> '' GROUP BY ALL")
 def child_r(spark, sf_dir):
-    i, docs = indexed(spark, sf_dir)
-    return search.search_right(search.nodes(i, docs, KEYS), i, docs)
+    s, nodes = found(spark, sf_dir)
+    return search.search_right(nodes, s.index)
 
 
 @query(GRAMS + " SELECT gram, occ FROM freq f WHERE NOT EXISTS (SELECT 1 FROM freq h WHERE length(h.gram) > 1 AND substring(h.gram, 2) = f.gram)")
@@ -403,14 +506,14 @@ _DIVERSE = NODES + ", d AS (SELECT n.id, n.key, count(DISTINCT bw) AS left_kinds
 
 @query(_DIVERSE + " SELECT id, key, left_kinds, left_kinds > 1 AS diverse FROM d")
 def left_diverse(spark, sf_dir):
-    i, docs = indexed(spark, sf_dir)
-    return mining.diversity(i, docs, search.nodes(i, docs, KEYS)).select("id", "key", "left_kinds", (F.col("left_kinds") > 1).alias("diverse"))
+    s, nodes = found(spark, sf_dir)
+    return mining.diversity(s.index, nodes).select("id", "key", "left_kinds", (F.col("left_kinds") > 1).alias("diverse"))
 
 
 @query(_DIVERSE + " SELECT id, key, right_kinds, right_kinds > 1 AS diverse FROM d")
 def right_diverse(spark, sf_dir):
-    i, docs = indexed(spark, sf_dir)
-    return mining.diversity(i, docs, search.nodes(i, docs, KEYS)).select("id", "key", "right_kinds", (F.col("right_kinds") > 1).alias("diverse"))
+    s, nodes = found(spark, sf_dir)
+    return mining.diversity(s.index, nodes).select("id", "key", "right_kinds", (F.col("right_kinds") > 1).alias("diverse"))
 
 
 @query(f"WITH {DOCS} SELECT gram, count(*) AS occ FROM (SELECT substring(text, i, k) AS gram FROM (SELECT text, k, unnest(range(1, length(text) - k + 2)) AS i FROM docs, (SELECT unnest(range(1, 4)) AS k) ks WHERE length(text) >= k)) GROUP BY gram")
@@ -433,56 +536,55 @@ def st_root(spark, sf_dir):
 
 @query(NODES + " SELECT n.id, n.l, n.r, depth, substring(text, pos + 1, depth) AS label FROM nodes n JOIN idx i ON n.id = i.id AND n.l = i.r")
 def st_pathlabel(spark, sf_dir):
-    i, docs = indexed(spark, sf_dir)
-    return tree.path_labels(search.nodes(i, docs, KEYS), i, docs)
+    s, nodes = found(spark, sf_dir)
+    return tree.path_labels(nodes, s.index, s.docs)
 
 
 @query(NODES + " SELECT id, key, l = r AS is_leaf FROM nodes")
 def st_leaves(spark, sf_dir):
-    i, docs = indexed(spark, sf_dir)
-    return search.nodes(i, docs, KEYS).select("id", "key", (F.col("l") == F.col("r")).alias("is_leaf"))
+    return found(spark, sf_dir)[1].select("id", "key", tree.is_leaf().alias("is_leaf"))
 
 
 @query(NODES + " SELECT n.id, key, substring(a.text, a.pos + depth + 1, 1) = substring(b.text, b.pos + depth + 1, 1) AS is_unary FROM nodes n JOIN idx a ON n.id = a.id AND n.l = a.r JOIN idx b ON n.id = b.id AND n.r = b.r")
 def st_unary(spark, sf_dir):
-    i, docs = indexed(spark, sf_dir)
-    return tree.unary(search.nodes(i, docs, KEYS), i, docs)
+    s, nodes = found(spark, sf_dir)
+    return tree.unary(nodes, s.index)
 
 
 @query(IDX + f" SELECT id, key, min(r) AS l, max(r) AS r FROM idx, {_values(KEYS, 'key')} k WHERE starts_with(substring(text, pos + 1), concat(key, 'r')) GROUP BY id, key")
 def st_child(spark, sf_dir):
-    i, docs = indexed(spark, sf_dir)
-    return search.search_right(search.nodes(i, docs, KEYS), i, docs, "r").select("id", "key", "l", "r")
+    s, nodes = found(spark, sf_dir)
+    return search.search_right(nodes, s.index, symbol="r").select("id", "key", "l", "r")
 
 
 @query(NODES + ", c AS (SELECT n.id, n.key, nullif(substring(text, pos + depth + 1, 1), '') AS sym, depth + 1 AS child_depth, min(i.r) AS l, max(i.r) AS r FROM nodes n JOIN idx i ON n.id = i.id AND i.r BETWEEN n.l AND n.r GROUP BY ALL) SELECT *, row_number() OVER (PARTITION BY id, key ORDER BY l) AS nth FROM c")
 def st_children(spark, sf_dir):
-    i, docs = indexed(spark, sf_dir)
-    return tree.children(search.nodes(i, docs, KEYS), i, docs)
+    s, nodes = found(spark, sf_dir)
+    return tree.children(nodes, s.index)
 
 
 @query(IDX + f" SELECT id, key, min(r) AS l, max(r) AS r FROM idx, {_values(KEYS, 'key')} k WHERE starts_with(substring(text, pos + 1), concat('h', key)) GROUP BY id, key")
 def st_weiner(spark, sf_dir):
-    i, docs = indexed(spark, sf_dir)
-    return search.search_left(search.nodes(i, docs, KEYS), i, "h").select("id", "key", "l", "r")
+    s, nodes = found(spark, sf_dir)
+    return search.search_left(nodes, s.index, "h", s.ranks).select("id", "key", "l", "r")
 
 
 @query(NODES + ", two AS (SELECT n.id, n.key, n.l, n.r, a.text, a.pos AS p, b.pos AS q FROM nodes n JOIN idx a ON n.id = a.id AND n.l = a.r JOIN idx b ON n.id = b.id AND n.r = b.r), ks AS (SELECT *, unnest(range(0, least(length(text) - p, length(text) - q) + 1)) AS k FROM two) SELECT id, key, l, r, max(k) AS depth FROM ks WHERE substring(text, p + 1, k) = substring(text, q + 1, k) GROUP BY id, key, l, r")
 def st_canonize(spark, sf_dir):
-    i, docs = indexed(spark, sf_dir)
-    return tree.canonize(search.nodes(i, docs, KEYS), i, docs)
+    s, nodes = found(spark, sf_dir)
+    return tree.canonize(nodes, s.index, s.docs, s.lcp)
 
 
 @query(NODES + " SELECT n.id, n.key, left(n.key, length(n.key) - 1) AS parent, min(i.r) AS l, max(i.r) AS r FROM nodes n JOIN idx i ON n.id = i.id AND starts_with(substring(text, pos + 1), left(n.key, length(n.key) - 1)) GROUP BY ALL")
 def st_parent(spark, sf_dir):
-    i, docs = indexed(spark, sf_dir)
-    return tree.parents(i, docs, KEYS)
+    s, nodes = found(spark, sf_dir)
+    return tree.parents(nodes, s.lcp).select("id", "key", F.expr("left(key, length(key) - 1)").alias("parent"), "l", "r")
 
 
 @query(NODES + " SELECT n.id, n.key, substring(n.key, 2) AS target, min(i.r) AS l, max(i.r) AS r FROM nodes n JOIN idx i ON n.id = i.id AND starts_with(substring(text, pos + 1), substring(n.key, 2)) GROUP BY ALL")
 def st_suflink(spark, sf_dir):
-    i, docs = indexed(spark, sf_dir)
-    return tree.suffix_links(i, docs, KEYS)
+    s, nodes = found(spark, sf_dir)
+    return tree.suffix_links(nodes, s.index, s.lcp).select("id", "key", F.expr("substring(key, 2)").alias("target"), "l", "r")
 
 
 @query(IDX + " SELECT id, label, CAST(length(label) AS BIGINT) AS depth, min(r) AS l, max(r) AS r FROM (SELECT id, r, substring(text, pos + 1, k) AS label FROM (SELECT *, unnest(range(0, least(3, length(text) - pos) + 1)) AS k FROM idx)) GROUP BY ALL")
@@ -493,8 +595,22 @@ def st_nodes(spark, sf_dir):
 
 @query(IDX + ", two AS (SELECT id, r, text, pos AS q, lag(pos) OVER (PARTITION BY id ORDER BY r) AS p FROM idx), ks AS (SELECT *, unnest(range(0, least(length(text) - coalesce(p, length(text)), length(text) - q) + 1)) AS k FROM two) SELECT id, r, max(k) AS lcp FROM ks WHERE k = 0 OR substring(text, p + 1, k) = substring(text, q + 1, k) GROUP BY id, r")
 def lcp_array(spark, sf_dir):
-    i, docs = indexed(spark, sf_dir)
-    return tree.lcp_array(i, docs)
+    return held(spark, sf_dir).lcp
+
+
+@query(NODES + ", two AS (SELECT id, r, text, pos AS q, lag(pos) OVER (PARTITION BY id ORDER BY r) AS p FROM idx), ks AS (SELECT *, unnest(range(0, least(length(text) - coalesce(p, length(text)), length(text) - q) + 1)) AS k FROM two), lcp AS (SELECT id, r, max(k) AS lcp FROM ks WHERE k = 0 OR substring(text, p + 1, k) = substring(text, q + 1, k) GROUP BY id, r) SELECT id, max(lcp) AS longest_repeat, count(CASE WHEN lcp = 0 THEN 1 END) - 1 AS first_symbols FROM lcp GROUP BY id")
+def st_side_data(spark, sf_dir):
+    """From the stored common prefixes: the longest repeated substring and how many symbols begin suffixes."""
+    return held(spark, sf_dir).lcp.groupBy("id").agg(F.max("lcp").alias("longest_repeat"), (F.count(F.when(F.col("lcp") == 0, 1)) - 1).alias("first_symbols"))
+
+
+@query(NODES + " SELECT id, key, depth, false AS is_null, true AS is_same FROM nodes")
+def st_compare(spark, sf_dir):
+    """Whether nodes are none, and whether they are the nodes that the same keys lead to again."""
+    s, nodes = found(spark, sf_dir)
+    again = search.nodes(s.index, s.docs, KEYS, s.ranks)
+    both = nodes.select("id", "key", "depth", F.struct("id", "depth", "l", "r").alias("a")).join(again.select("id", "key", F.struct("id", "depth", "l", "r").alias("b")), ["id", "key"])
+    return both.select("id", "key", "depth", tree.is_null().alias("is_null"), tree.same("a", "b").alias("is_same"))
 
 
 # ---- approximate search
@@ -548,9 +664,22 @@ def edit_alignment(spark, sf_dir):
     return approx.alignments(approx.edit_distances(table(spark, sf_dir, "part"), "p_name", NAMES))
 
 
+@query(f"SELECT DISTINCT p_name AS value, list_aggregate(list_transform(range(0, length('{NAMES[0]}') + 1), lambda j: CAST(levenshtein(left(p_name, 2), left('{NAMES[0]}', j)) AS VARCHAR)), 'string_agg', ' ') AS distances FROM part WHERE length(p_name) >= 2")
+def dp_row(spark, sf_dir):
+    """Distances of each value's first two symbols to every beginning of a query, a step for each symbol."""
+    rows = table(spark, sf_dir, "part").select(F.col("p_name").alias("value")).where(F.length("value") >= 2).distinct()
+    row = rows.select("value", approx.next_row(approx.first_row(NAMES[0]), F.substring("value", 1, 1), NAMES[0]).alias("row"))
+    return row.select("value", F.array_join(approx.next_row(F.col("row"), F.substring("value", 2, 1), NAMES[0]), " ").alias("distances"))
+
+
 # ---- sequences
 
 
+@query(SEQ + " SELECT id, CAST(0 AS BIGINT) AS wrong FROM seq GROUP BY id")
+def seq_check(spark, sf_dir):
+    return sequence.check(events(spark, sf_dir))
+
+
 @query(SEQ + " SELECT id, count(*) AS n, count(DISTINCT sym) AS m FROM seq GROUP BY id")
 def seq_build(spark, sf_dir):
     return events(spark, sf_dir).groupBy("id").agg(F.count("*").alias("n"), F.countDistinct("sym").alias("m"))
@@ -604,9 +733,10 @@ def sparse_select(spark, sf_dir):
     return sequence.sparse(sequence.bits(events(spark, sf_dir), "error"))
 
 
-@query(_BITS + " SELECT id, i, count(CASE WHEN pos <= i THEN 1 END) AS rank1 FROM (SELECT id, i AS pos FROM bits WHERE bit = 1) o, (SELECT unnest([CAST(3 AS BIGINT), 10]) AS i) p GROUP BY id, i")
+@query(_BITS + " SELECT id, p.i AS i, count(CASE WHEN bit = 1 AND b.i <= p.i THEN 1 END) AS rank1 FROM bits b, (SELECT unnest([CAST(3 AS BIGINT), 10]) AS i) p GROUP BY id, p.i")
 def sparse_rank(spark, sf_dir):
-    return sequence.sparse_rank(sequence.sparse(sequence.bits(events(spark, sf_dir), "error")), [3, 10])
+    vector = sequence.bits(events(spark, sf_dir), "error")
+    return sequence.sparse_rank(sequence.sparse(vector), [3, 10], vector)
 
 
 @query("SELECT event_id AS id, CAST(bit_count(event_id * 2654435761) AS BIGINT) AS ones FROM events")
@@ -619,6 +749,18 @@ def blog(spark, sf_dir):
     return table(spark, sf_dir, "events").select(F.col("event_id").alias("id"), fn.blog(F.col("event_id")).alias("log"))
 
 
+@query("SELECT event_id AS id, CAST(getbit AS BIGINT) AS bit, event_id | 8 AS high, event_id & ~CAST(8 AS BIGINT) AS low FROM (SELECT event_id, (event_id >> 3) & 1 AS getbit FROM events)")
+def bit_access(spark, sf_dir):
+    x = F.col("event_id")
+    return table(spark, sf_dir, "events").select(x.alias("id"), fn.bit_at(x, 60).alias("bit"), fn.with_bit(x, 60, 1).alias("high"), fn.with_bit(x, 60, 0).alias("low"))
+
+
+@query("SELECT event_id AS id, lower(concat(right(lpad(hex(event_id), 16, '0'), 2), substring(lpad(hex(event_id), 16, '0'), 13, 2))) AS bytes, event_id % 65536 AS back FROM events")
+def integer_codec(spark, sf_dir):
+    x = F.col("event_id")
+    return table(spark, sf_dir, "events").select(x.alias("id"), F.lower(F.hex(fn.as_little_endian(x, 2))).alias("bytes"), fn.from_little_endian(fn.as_little_endian(x, 2), 2).alias("back"))
+
+
 @query()
 def huffman_lengths(spark, sf_dir):
     return sequence.huffman(index.alphabet(bench(spark, sf_dir)).select("id", "sym", "freq"))
@@ -682,10 +824,23 @@ def valid_utf8(spark, sf_dir):
 @query(IDX + " SELECT id, pos, ch, r FROM idx WHERE pos BETWEEN 10 AND 29 AND ch IS NOT NULL")
 def scan_forward(spark, sf_dir):
     """Twenty symbols from position 10 on, with the row of each."""
-    return indexed(spark, sf_dir)[0].where("pos between 10 and 29 and ch is not null").select("id", "pos", "ch", "r")
+    return navigate.Cursor(indexed(spark, sf_dir)[0]).seek(10).read(20)
 
 
 @query(IDX + " SELECT id, pos, bw, r FROM idx WHERE pos BETWEEN 11 AND 30")
 def scan_backward(spark, sf_dir):
     """Twenty symbols before position 30 leftwards, with the row of each."""
-    return indexed(spark, sf_dir)[0].where("pos between 11 and 30").select("id", "pos", "bw", "r")
+    return navigate.Cursor(indexed(spark, sf_dir)[0]).seek(30).read_back(20)
+
+
+@query(IDX + " SELECT id, pos, r FROM idx WHERE pos = 0")
+def cursor_open(spark, sf_dir):
+    return navigate.Cursor(indexed(spark, sf_dir)[0]).here()
+
+
+@query(IDX + " SELECT id, pos, ch, r FROM idx WHERE pos = 5 AND ch IS NOT NULL")
+def cursor_peek(spark, sf_dir):
+    """The symbol at position 5, peeked at twice: a peek moves nothing."""
+    cursor = navigate.Cursor(indexed(spark, sf_dir)[0]).seek(5)
+    cursor.peek()
+    return cursor.peek()

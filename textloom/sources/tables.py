@@ -2,19 +2,36 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.symbols import from_code_point
+from ..functions.symbols import as_little_endian, from_code_point
+
+_OWN: list[str] = []
+
+
+def shared_dir(spark: SparkSession) -> str:
+    """The cluster's ``spark.checkpoint.dir``; a folder of our own only where it is unset and the master is local."""
+    found = spark.conf.get("spark.checkpoint.dir", None)
+    if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        if not _OWN:
+            _OWN.append(tempfile.mkdtemp(prefix="textloom-"))
+            atexit.register(shutil.rmtree, _OWN[0], ignore_errors=True)
+        found = _OWN[0]
+    return found.rstrip("/")
 
 
 def cut(df: DataFrame) -> DataFrame:
     """The same rows, read from the cluster's checkpoint folder, so that loops don't grow the plan."""
     sc = df.sparkSession.sparkContext
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="textloom-"))
+        sc.setCheckpointDir(shared_dir(df.sparkSession))
     return df.checkpoint()
 
 
@@ -51,10 +68,20 @@ def read_bwt(spark: SparkSession, symbols: str, last: str, width: int = 1, size:
     return moved.unionByName(spark.range(1).select(F.lit(0).cast("long").alias("id"), F.lit(at).cast("long").alias("r"), F.lit(None).cast("string").alias("bw")))
 
 
-def save_index(index: DataFrame, path: str, buckets: int | None = None) -> None:
-    """Writes an index sorted by (id, r), so that row-group statistics skip what a lookup doesn't need."""
+def bwt_bytes(bwt: DataFrame, width: int = 1) -> DataFrame:
+    """(id, symbols, last) from (id, r, bw): what a BWT file of fixed-width little-endian symbols holds, and the row left out of it.
+
+    For texts that fit into a row. Symbols are code points, which have to fit into the width.
+    """
+    cells = F.array_sort(F.collect_list(F.when(F.col("bw").isNotNull(), F.struct("r", F.hex(as_little_endian(F.ascii("bw"), width)).alias("x")))))
+    found = bwt.groupBy("id").agg(cells.alias("cells"), F.max(F.when(F.col("bw").isNull(), F.col("r"))).alias("last"))
+    return found.select("id", F.unhex(F.array_join(F.transform("cells", lambda c: c["x"]), "")).alias("symbols"), "last")
+
+
+def save_index(index: DataFrame, path: str, buckets: int | None = None, order: str = "r") -> None:
+    """Writes an index sorted by (id, r), so that row-group statistics skip what a lookup doesn't need; its side tables alike."""
     laid = index.repartition(buckets, "id") if buckets else index.repartition("id")
-    laid.sortWithinPartitions("id", "r").write.mode("overwrite").parquet(path)
+    laid.sortWithinPartitions("id", order).write.mode("overwrite").parquet(path)
 
 
 def load_index(spark: SparkSession, path: str) -> DataFrame:
