@@ -56,6 +56,7 @@ IMPLIED = {
     "tfoot": (_PARTS, frozenset(("table",))),
     "body": (("head",), frozenset()),
 }
+_TABLE, _TABLE_PARTS = frozenset("table template html".split()), frozenset(("table", *_PARTS))
 _SCOPE = frozenset("table td th caption button object template html".split())
 COMMENTS = frozenset("comment comments disqus reply replies respond".split())
 HINTS = COMMENTS | frozenset(
@@ -165,7 +166,7 @@ class Lines(HTMLParser):
         _, element, out = self.stack[-1]
         if not out:
             self.pieces.append((None, element))
-        self._close((tag,), _SCOPE - {tag} if tag in BLOCKS else BLOCKS)
+        self._close((tag,), _TABLE - {tag} if tag in _TABLE_PARTS else _SCOPE - {tag} if tag in BLOCKS else BLOCKS)
 
     def handle_data(self, data: str) -> None:
         if not self.stack[-1][2]:

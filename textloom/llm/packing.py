@@ -3,8 +3,7 @@
 A document's ids end with id 0. Full pieces of ``size`` ids are sequences of their own. The rest of each document waits in
 a shard (what one task holds, ``SHARD_TOKENS`` at most); a shard opens as few sequences as its ids need and gives its
 pieces out by descending cost, ``l + l * l / size``, each to the sequence of least cost that has room for it. Only where
-none has room for the whole piece is it cut, to fill the one with most room. So all sequences but the last of a shard are
-full.
+none has room for the whole piece is it cut, to fill the one with most room. So a shard's padding is less than a sequence.
 
 Ids are those of the ``tokenizers`` library with the same file: its vocabulary runs in tiktoken, which merges in the same
 order at a quarter of the time (the tests compare the two), and texts that tiktoken can't split (very long white space) go
