@@ -163,11 +163,28 @@ def build_index_any(docs: DataFrame) -> DataFrame:
     return short.unionByName(finish(suffix_array_doubling(long, 16), long)) if long.head(1) else short
 
 
+def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        ids, syms, freqs = [], [], []
+        for one, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+            codes = _codes(text)
+            if not len(codes):
+                continue
+            if codes.max() < 1 << 16:
+                count = np.bincount(codes)
+                found = np.flatnonzero(count)
+                count = count[found]
+            else:
+                found, count = np.unique(codes, return_counts=True)
+            ids += [one] * len(found)
+            syms += map(chr, found.tolist())
+            freqs += count.tolist()
+        yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(syms, pa.string()), pa.array(freqs, pa.int64())], names=["id", "sym", "freq"])
+
+
 def symbol_freq(docs: DataFrame) -> DataFrame:
-    """(id, sym, freq), counted inside each text's row."""
-    distinct = F.filter(F.array_distinct(F.split("text", "")), lambda c: c != "")
-    cells = F.transform(distinct, lambda c: F.struct(c.alias("sym"), (F.length("text") - F.length(F.replace(F.col("text"), c, F.lit("")))).cast("long").alias("freq")))
-    return docs.select("id", F.inline(cells))
+    """(id, sym, freq), counted where each text is: one pass, no row for a symbol's every occurrence and no shuffle."""
+    return docs.select("id", "text").mapInArrow(_counts, "id long, sym string, freq long")
 
 
 def alphabet(docs: DataFrame) -> DataFrame:

@@ -640,7 +640,18 @@ def approx_search_seeded(spark, sf_dir):
     return approx.search_seeded(*ascii_indexed(spark, sf_dir), SHORT, 2)
 
 
-@query()
+#: Of equal ranges the least error, then the shorter; of ranges that start at a row the largest; neighbours by position.
+_LOCAL = _approx(2).replace("SELECT id, query, min(levenshtein(s, query))", ", hits AS (SELECT id, query, min(levenshtein(s, query))") + """),
+one AS (SELECT * FROM hits QUALIFY row_number() OVER (PARTITION BY id, query, l, r ORDER BY error, len) = 1),
+placed AS (SELECT one.*, pos FROM one JOIN idx ON idx.id = one.id AND idx.r = one.l),
+start AS (SELECT id, query, pos, error AS e FROM placed QUALIFY row_number() OVER (PARTITION BY id, query, l ORDER BY r DESC) = 1)
+SELECT h.id, h.query, h.error, h.len, h.l, h.r FROM placed h JOIN start s ON s.id = h.id AND s.query = h.query AND s.pos = h.pos
+LEFT JOIN start a ON a.id = h.id AND a.query = h.query AND a.pos = h.pos - 1 LEFT JOIN start b ON b.id = h.id AND b.query = h.query AND b.pos = h.pos - 2
+LEFT JOIN start c ON c.id = h.id AND c.query = h.query AND c.pos = h.pos + 1 LEFT JOIN start d ON d.id = h.id AND d.query = h.query AND d.pos = h.pos + 2
+WHERE s.e >= h.error AND NOT coalesce(a.e < h.error OR (a.e IS NOT NULL AND b.e < h.error), false) AND NOT coalesce(c.e < h.error OR (c.e IS NOT NULL AND d.e < h.error), false)"""
+
+
+@query(_LOCAL)
 def approx_local_min(spark, sf_dir):
     i, docs = ascii_indexed(spark, sf_dir)
     return approx.local_minima(approx.search(i, docs, SHORT, 2), i, 2)
@@ -672,6 +683,13 @@ def dp_row(spark, sf_dir):
     return row.select("value", F.array_join(approx.next_row(F.col("row"), F.substring("value", 2, 1), NAMES[0]), " ").alias("distances"))
 
 
+@query(f"SELECT DISTINCT p_name AS value, query, levenshtein(p_name, query) AS cost FROM part, {_values(NAMES, 'query')} q WHERE p_name IS NOT NULL")
+def edit_alignment_cost(spark, sf_dir):
+    """How many edits each alignment shows: no more than the distance."""
+    shown = edit_alignment(spark, sf_dir)
+    return shown.select("value", "query", (F.length("alignment") - F.length(F.replace("alignment", F.lit("["), F.lit("")))).cast("long").alias("cost"))
+
+
 # ---- sequences
 
 
@@ -766,6 +784,15 @@ def huffman_lengths(spark, sf_dir):
     return sequence.huffman(index.alphabet(bench(spark, sf_dir)).select("id", "sym", "freq"))
 
 
+@query(ALPHABET + ", n AS (SELECT id, sum(freq) AS n FROM freq GROUP BY id) SELECT f.id, CAST(n.n AS BIGINT) AS n, CAST(1 AS DOUBLE) AS kraft, true AS is_near FROM freq f JOIN n ON n.id = f.id GROUP BY f.id, n.n HAVING count(*) > 1")
+def huffman_bounds(spark, sf_dir):
+    """Whether code lengths fill the code space and cost at least the entropy and less than a bit a symbol more."""
+    p = F.col("freq") / F.sum("freq").over(Window.partitionBy("id"))
+    rows = huffman_lengths(spark, sf_dir).withColumn("h", -F.col("freq") * F.log2(p))
+    sums = rows.groupBy("id").agg(F.sum("freq").alias("n"), F.sum(F.pow(F.lit(2.0), -F.col("clen"))).alias("kraft"), F.sum(F.col("freq") * F.col("clen")).alias("cost"), F.sum("h").alias("h"), F.count("*").alias("m"))
+    return sums.where("m > 1").select("id", "n", "kraft", ((F.col("cost") >= F.col("h") - 1e-6) & (F.col("cost") < F.col("h") + F.col("n"))).alias("is_near"))
+
+
 # ---- encodings
 
 
