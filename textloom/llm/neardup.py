@@ -10,8 +10,8 @@ corrected for accidental collisions, drops pairs under 0.6 (five standard deviat
 shingle sets. Where a bucket still holds several components, its members of different components are compared by their
 registers inside a task, and only a spanning forest of what is near leaves it; all nodes of components that hang together
 by it meet once more, with their full sets, and again only a spanning forest of confirmed links leaves the task. So no
-pair that shares a bucket is left out, and no group gives rise to more rows than it has members. Groups over
-``BLOCK_ROWS`` are dealt out in pairs of blocks.
+pair that shares a bucket is left out. A group over ``BLOCK_ROWS`` is dealt out in pairs of blocks: of m members in b blocks each
+travels to b tasks, so memory is bounded, but such a group moves m * b rows. Only what the centres left apart gets there.
 Components spread the smallest label along confirmed links, with pointer jumping.
 
 Pairs already in one component aren't compared.

@@ -47,7 +47,7 @@ COVERS = {
 }
 FLUSH = 16 << 20
 FLUSH_POSITIONS = 1_500_000
-BLOCK_BYTES, BUCKET_BYTES = 8 << 20, 32 << 20
+BLOCK_BYTES, BUCKET_BYTES = 16 << 20, 32 << 20
 #: Hash bytes of a whole string, of which ``CHECK_BYTES`` are those of a polynomial of their own.
 STRING_BYTES, CHECK_BYTES = 11, 3
 _PACKED = "block int, hashes binary, keys binary, counts binary, deltas binary, width int"
@@ -171,20 +171,25 @@ class _Packer:
 def _settle(buckets: int):
     def run(table: pa.Table) -> pa.Table:
         """One block: the (key, position) whose hash has another (key, position), packed by buckets of keys."""
-        hs, cs, ks, ps, out = [], [], [], [], []
-        cols = [table.column(c).to_pylist() for c in ("block", "hashes", "keys", "counts", "deltas", "width")]
-        for block, hashes, keys, counts, deltas, width in zip(*cols):
-            if hashes is None:
-                out.append((block, keys, counts, deltas))
+        out = []
+        names = ("block", "hashes", "keys", "counts", "deltas")
+        width = max(table.column("width").to_pylist(), default=0)
+        plain = min(width, 8)
+        total = sum(len(x.as_buffer()) for x in table.column("hashes") if x.is_valid) // max(1, width)
+        # filled row by row, so a block is held packed and unpacked, but not once more
+        h, c, k, p, n = np.empty(total, U64), np.zeros(total, np.uint32), np.empty(total, np.int64), np.empty(total, np.int64), 0
+        for block, hashes, *runs in zip(*(table.column(x) for x in names)):
+            runs = [x.as_buffer() for x in runs]
+            if not hashes.is_valid:
+                out.append((block.as_py(), *(x.to_pybytes() for x in runs)))
                 continue
-            k, p = _flat(keys, counts, deltas)
-            plain = min(width, 8)
-            hs.append(unplanes(hashes[: plain * len(k)], plain)), ks.append(k), ps.append(p)
-            cs.append(unplanes(hashes[plain * len(k) :], width - plain).astype(np.uint32) if width > plain else np.zeros(len(k), np.uint32))
-        del cols
-        if hs:
-            h, c, k, p = (np.concatenate(x) for x in (hs, cs, ks, ps))
-            del hs, cs, ks, ps
+            key, pos = _flat(*runs)
+            m, packed = len(key), hashes.as_buffer()
+            h[n : n + m], k[n : n + m], p[n : n + m] = unplanes(packed[: plain * m], plain), key, pos
+            if width > plain:
+                c[n : n + m] = unplanes(packed[plain * m :], width - plain)
+            n += m
+        if n:
             order, new = _grouped(h, c)
             k, p = k[order], p[order]
             del h, c, order
