@@ -54,7 +54,7 @@ def test_backward_search_over_many_blocks(built, known):
     for i, t in enumerate(TEXTS):
         assert got.get(i, []) == sorted((k, *span(t, k)) for k in KEYS if span(t, k))
     plan = search.search_range(built, None, ["ab"], known)._jdf.queryExecution().optimizedPlan().toString()
-    assert "Window" not in plan and "text" not in plan and plan.count("Join ") == 6
+    assert "Window" not in plan and "text" not in plan and plan.count("Join ") == 2
 
 
 def test_ranks_at_points_and_everywhere(built, known):

@@ -219,11 +219,12 @@ def rank_blocks(index: DataFrame) -> DataFrame:
 
 
 def heads(index: DataFrame) -> DataFrame:
-    """(id, n, starts): a text's length and the first row of each of its symbols."""
-    first = index.where("ch is not null").groupBy("id", "ch").agg(F.min("r").alias("start"))
-    starts = first.groupBy("id").agg(F.map_from_entries(F.collect_list(F.struct("ch", "start"))).alias("starts"))
+    """(id, n, starts, counts): a text's length, the first row of each of its symbols, and how often each occurs."""
+    first = index.where("ch is not null").groupBy("id", "ch").agg(F.min("r").alias("start"), F.count("*").alias("many"))
+    maps = first.groupBy("id").agg(*[F.map_from_entries(F.collect_list(F.struct("ch", c))).alias(n) for c, n in (("start", "starts"), ("many", "counts"))])
     length = index.groupBy("id").agg((F.count("*") - 1).alias("n"))
-    return length.join(starts, "id", "left").select("id", "n", F.coalesce("starts", F.create_map().cast("map<string,long>")).alias("starts"))
+    none = F.create_map().cast("map<string,long>")
+    return length.join(maps, "id", "left").select("id", "n", F.coalesce("starts", none).alias("starts"), F.coalesce("counts", none).alias("counts"))
 
 
 def rank_in(bws: Column, before: Column, row: Column, symbol: Column) -> Column:

@@ -47,7 +47,8 @@ def _with_blocks(nodes: DataFrame, known: Ranks) -> DataFrame:
     low = known.blocks.select("id", F.col("block").alias("_low"), F.col("bws").alias("_lows"), F.col("before").alias("_low_before"))
     high = known.blocks.select("id", F.col("block").alias("_high"), F.col("bws").alias("_highs"), F.col("before").alias("_high_before"))
     placed = nodes.withColumn("_low", F.floor((F.col("l") - 1) / BLOCK)).withColumn("_high", F.floor(F.col("r") / BLOCK))
-    return placed.join(low, ["id", "_low"], "left").join(high, ["id", "_high"], "left").join(known.heads.select("id", "starts"), "id")
+    met = placed.join(low, ["id", "_low"], "left").join(high, ["id", "_high"], "left")
+    return met if "starts" in nodes.columns else met.join(known.heads.select("id", "starts"), "id")
 
 
 def _extended(symbol: Column) -> tuple[Column, Column]:
@@ -63,13 +64,18 @@ def search_range(index: DataFrame, docs: DataFrame | None, patterns: list[str],
     The texts aren't read: ``docs`` may be None.
     """
     known = known or ranks(index)
-    now = known.heads.select("id", F.explode(literals(patterns)).alias("pattern"), F.lit(0).cast("long").alias("l"), F.col("n").alias("r"))
-    for step in range(max(map(len, patterns), default=0)):
+    # the last symbol's rows are known without a rank
+    last = F.substring("pattern", F.length("pattern"), F.lit(1))
+    rows = known.heads.select("id", "n", "starts", "counts", F.explode(literals(patterns)).alias("pattern"))
+    low, high = F.element_at("starts", last), F.element_at("starts", last) + F.element_at("counts", last) - 1
+    empty = F.length("pattern") == 0
+    now = rows.select("id", "pattern", "starts", F.when(empty, 0).otherwise(low).cast("long").alias("l"), F.when(empty, F.col("n")).otherwise(high).alias("r")).where("l <= r")
+    for step in range(1, max(map(len, patterns), default=0)):
         low, high = _extended(F.substring("pattern", F.greatest(F.length("pattern") - step, F.lit(1)), F.lit(1)))
         ready = F.length("pattern") <= step  # read to its first symbol
-        moved = _with_blocks(now, known).select("id", "pattern", F.when(ready, F.col("l")).otherwise(low).alias("l"), F.when(ready, F.col("r")).otherwise(high).alias("r"))
+        moved = _with_blocks(now, known).select("id", "pattern", "starts", F.when(ready, F.col("l")).otherwise(low).alias("l"), F.when(ready, F.col("r")).otherwise(high).alias("r"))
         now = moved.where("l <= r")
-    return now
+    return now.drop("starts")
 
 
 def max_match(docs: DataFrame, patterns: list[str]) -> DataFrame:
