@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 public_tokenizers = pytest.importorskip("public_tokenizers")
 
 import corpus_pipeline  # noqa: E402
-from textloom.llm import chat, html_text, kernels, langid, neardup, oracles, packing, quality_rules, quality_trees, queries, repeats, sentencepieces, stats, topk  # noqa: E402
+from textloom.llm import chat, html_text, kernels, langid, neardup, oracles, packing, quality_rules, quality_trees, queries, repeats, scratch, sentencepieces, stats, topk  # noqa: E402
 
 SF = "/root/testdata/sf0.01"
 #: Names that operators use inside.
@@ -351,3 +351,60 @@ def test_pipeline_stages_with_clashing_names_odd_ids_and_long_texts(spark, sf_di
             assert left is None or len(got) == left
             assert all([r[c] for c in CLASHING] == list(range(len(CLASHING))) for r in got)
         assert stage(spark, docs.where("false"), sf_dir).collect() == []
+
+
+def test_near_duplicates_with_hot_buckets_split_and_dealt_out(spark, monkeypatch):
+    """Hot buckets, hubs, labels and copies in pieces, large mixed buckets by further bands, against all pairs."""
+    for module in (neardup, scratch):
+        monkeypatch.setattr(module, "HOT_ROWS", 3)
+        monkeypatch.setattr(module, "HOT_KEYS", 1000)
+    for name, value in (("BLOCK_ROWS", 4), ("TASK_ROWS", 16), ("SPLIT_ROWS", 12)):
+        monkeypatch.setattr(neardup, name, value)
+    parted = []
+    plain = neardup._split
+    monkeypatch.setattr(neardup, "_split", lambda turn: parted.append(turn) or plain(turn))
+    rng = random.Random(8)
+    base = [f"w{i}" for i in range(150)]
+    texts = [None, "", " \n", "one two", "one two"] + [" ".join(base)] * 30
+    for i in range(70):  # from near copies to texts that only share half of their words
+        words = list(base)
+        for _ in range(rng.choice([1, 2, 4, 6, 9, 14])):
+            words[rng.randrange(len(words))] = f"v{rng.randint(0, 10**6)}"
+        texts.append(" ".join(words))
+    for i in range(40):  # a shared passage in texts of their own
+        texts.append(" ".join([f"o{i} p{j} q{i * j}" for j in range(rng.choice([8, 20]))] + base[:90]))
+    sets = []
+    for t in texts:
+        w = (t or "").lower().split()
+        sets.append({tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set())
+    up = list(range(len(texts)))
+
+    def find(i):
+        while up[i] != i:
+            i = up[i]
+        return i
+
+    for i in range(len(texts)):
+        for j in range(i):
+            if sets[i] and sets[j] and 100 * len(sets[i] & sets[j]) >= 75 * len(sets[i] | sets[j]):
+                a, b = sorted((find(i), find(j)))
+                up[b] = a
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: (r.n_shingles, r.component_id, r.kept) for r in neardup.near_duplicates(docs).collect()}
+    assert got == {i: (len(s), find(i), find(i) == i) for i, s in enumerate(sets)}
+    assert parted == [1, 2]
+    assert sorted(r.doc_id for r in neardup.one_of_each(docs).collect()) == sorted(i for i, s in enumerate(sets) if find(i) == i or not s)
+
+
+def test_hot_keys_are_few_and_joined_in_pieces(spark, monkeypatch):
+    monkeypatch.setattr(scratch, "HOT_ROWS", 10)
+    monkeypatch.setattr(scratch, "HOT_KEYS", 50)
+    folder = scratch.Scratch(spark, "test")
+    rows = folder.write(spark.range(1000).selectExpr("id", "CASE WHEN id < 400 THEN 1 WHEN id < 420 THEN 2 WHEN id < 430 THEN NULL ELSE id END AS k"), "rows")
+    hot = scratch.hot_keys(folder, rows, "k", "hot")
+    assert [tuple(r) for r in hot.collect()] == [(1, 20)]  # key 2 holds no more than a fiftieth
+    one = rows.where("k IS NOT NULL").select("k").distinct().selectExpr("k", "k * 2 AS twice")
+    want = sorted(tuple(r) for r in rows.where("k IS NOT NULL").selectExpr("id", "k", "k * 2").collect())
+    for which in (hot, None):
+        got = scratch.spread_join(rows, one, "k", which, ["id"])
+        assert sorted(tuple(r) for r in got.select("id", "k", "twice").collect()) == want

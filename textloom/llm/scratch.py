@@ -11,9 +11,11 @@ import time
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 ARROW_ROWS = 2000
 ARROW_BYTES = 8 << 20
+HOT_ROWS, HOT_KEYS = 512, 10_000
 _OWN: list[str] = []
 
 
@@ -68,6 +70,28 @@ class Scratch:
             path.getFileSystem(conf).delete(path, True)
 
 
+def hot_keys(scratch: Scratch, rows: DataFrame, key: str, name: str) -> DataFrame | None:
+    """The keys of more than ``HOT_ROWS`` rows that hold over one in ``HOT_KEYS`` of all rows, with the pieces each is dealt into.
+
+    So there are fewer than ``HOT_KEYS`` of them, however large the table, and they may be broadcast.
+    """
+    limit = max(HOT_ROWS, rows.count() // HOT_KEYS)
+    many = rows.where(F.col(key).isNotNull()).groupBy(key).agg(F.count("*").alias("many")).where(F.col("many") > limit)
+    hot = scratch.write(many.select(F.col(key).alias("_hot"), F.ceil(F.col("many") / limit).cast("int").alias("_pieces")), name)
+    return hot if hot.head(1) else None
+
+
+def spread_join(rows: DataFrame, one: DataFrame, key: str, hot: DataFrame | None, by: list[str]) -> DataFrame:
+    """Inner join of rows with a table of one row a key; the rows of hot keys are dealt by ``by`` over pieces, each with a copy of that row."""
+    if hot is None:
+        return rows.join(one, key)
+    few = F.broadcast(hot)
+    dealt = rows.join(few, F.col(key) == F.col("_hot"), "left").withColumn("_piece", F.coalesce(F.pmod(F.xxhash64(*by), F.col("_pieces")), F.lit(0)).cast("int"))
+    pieces = F.sequence(F.lit(0), F.coalesce(F.col("_pieces"), F.lit(1)) - 1)
+    copied = one.join(few, F.col(key) == F.col("_hot"), "left").withColumn("_piece", F.explode(pieces))
+    return dealt.drop("_hot", "_pieces").join(copied.drop("_hot", "_pieces"), [key, "_piece"]).drop("_piece")
+
+
 def free_shuffles(spark: SparkSession) -> None:
     """Lets Spark's cleaner delete the shuffle files of plans that nothing refers to any more.
 
