@@ -1,12 +1,15 @@
 """Backward search, point navigation, the cursor, trees by ranges, and long texts, on tiny texts against their definitions."""
 
+import os
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from textloom.functions import symbols as fn
 from textloom.operators import approx, index, mining, navigate, search, sequence, tree
+from textloom.plans import catalog
 from textloom.sources import tables
 
 RNG = random.Random(7)
@@ -57,6 +60,47 @@ def test_backward_search_over_many_blocks(built, known):
     assert "Window" not in plan and "text" not in plan and plan.count("Join ") == 2
 
 
+def test_packed_index_and_search(spark, docs, tmp_path):
+    wide = ["".join(chr(0x4E00 + RNG.randrange(400)) for _ in range(3000)), "\U0010ffffa𝒳" * 90 + "a", "abab" * 256]
+    texts = [*TEXTS, *wide]
+    keys = [*KEYS, wide[0][1500:1503], wide[0][-1], "𝒳\U0010ffff", "\U0010ffff"]
+    tables.save_packed(index.pack_index(spark.createDataFrame(list(enumerate(texts)), "id long, text string").repartition(2)), str(tmp_path / "packed"))
+    packed = tables.load_index(spark, str(tmp_path / "packed"))
+    found = search.search_packed(packed, keys)
+    got = by_id(found, "pattern", "l", "r")
+    for i, t in enumerate(texts):
+        assert got.get(i, []) == sorted((k, *span(t, k)) for k in keys if span(t, k))
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan and "Join" not in plan and "Arrow" not in plan
+    assert search.search_packed(packed, []).count() == 0
+    for r in packed.collect():  # every symbol of the last column, the end left out, and as many counts as a fourth of the symbols
+        t = texts[r.id]
+        assert "".join(r.bws) == "".join(t[p - 1] for p in sa(t) if p) and sa(t)[r.last] == 0 and r.n == len(t)
+        assert len(r.before) == len(r.bws) * len(r.syms) <= len(t) / 4 + len(r.syms)
+
+
+def test_suffixes_of_many_texts_in_one_sort():
+    for texts in (["", ""], TEXTS, ["ab" * 300, "", "ab" * 301, "ba" * 300, "a" * 999], ["a"] * 70 + ["é𝒳\U0010ffff"]):
+        order, a = index.sort_texts(index._codes("".join(texts)), np.array([*map(len, texts)])), 0
+        for t in texts:
+            assert (order[a : a + len(t) + 1] - a).tolist() == sa(t)
+            a += len(t) + 1
+
+
+def test_search_of_documents_writes_less_than_its_budget(spark, sf_dir, tmp_path, monkeypatch):
+    monkeypatch.setattr(tables, "shared_dir", lambda _: str(tmp_path))
+    for kept in ("_STORED", "_PACKED"):
+        monkeypatch.setattr(catalog, kept, {}, raising=False)
+    short = by_id(catalog.search_range_documents(spark, sf_dir), "pattern", "l", "r")
+    assert sum(p.stat().st_size for p in tmp_path.rglob("*.parquet")) < 4 * os.path.getsize(f"{sf_dir}/documents.parquet")
+    # texts over LOCAL_SYMBOLS have rank blocks and the same ranges
+    lengths = sorted(r.n for r in catalog.corpus(spark, sf_dir).select(F.length("text").alias("n")).collect())
+    monkeypatch.setattr(index, "LOCAL_SYMBOLS", lengths[-3])
+    monkeypatch.setattr(catalog, "_PACKED", {})
+    assert by_id(catalog.search_range_documents(spark, sf_dir), "pattern", "l", "r") == short
+    assert catalog.held_corpus(spark, sf_dir)[1].heads.count() == sum(n > lengths[-3] for n in lengths) > 0
+
+
 def test_ranks_at_points_and_everywhere(built, known):
     points = [(-1, "a"), (0, "a"), (300, "a"), (300, "é"), (599, "b"), (3, "z")]
     got = by_id(navigate.rank_at(built, points, known), "r", "sym", "occ")

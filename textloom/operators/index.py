@@ -7,6 +7,9 @@ UTF-8 bytes.
 
 Rank blocks ``(id, block, bws, before)`` are what backward search needs: the bw column in strings of ``BLOCK`` rows and the
 count of each symbol before each block, so the rank of a symbol up to any row takes one row of them.
+
+A packed index is a row a text, for searches alone: its bw column without the end-of-text row, in strings of ``step`` rows,
+and the counts before each string. It is made where the text is, without the index table.
 """
 
 from __future__ import annotations
@@ -26,25 +29,74 @@ LOCAL_SYMBOLS = 2_000_000
 BLOCK = 256
 #: Stands for the end of the text in a block's string (a code point that is no character); the row's symbol is null.
 END = "\U0010ffff"
+#: Texts are sorted together up to so many symbols: few calls for short texts, tables that stay in a core's cache.
+GROUP = 1 << 16
+_PACKED = "id long, n long, last long, step int, syms string, starts array<long>, bws array<string>, before array<int>"
 _ROWS = "id long, r long, pos long, ch string, bw string, lf long, psi long"
 
 
-def sort_suffixes(codes: np.ndarray) -> np.ndarray:
-    """Suffix array with the empty suffix first, by prefix doubling."""
-    n = len(codes)
-    rank = np.zeros(n + 1, np.int64)
-    rank[:n] = np.unique(codes, return_inverse=True)[1] + 1
-    width = 1
+def sort_texts(codes: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """Suffix arrays of texts in one: starts among all symbols, with an end after each text, sorted by (text, suffix).
+
+    First by as many symbols as fit into 64 bits beside the text's number, then by doubling, for suffixes that still tie
+    only. Suffixes of one text end at different places, so they differ at an end at the latest and nothing behind it counts.
+    """
+    n, bits_of = int(lengths.sum()) + len(lengths), lambda x: max(1, int(x).bit_length())
+    found, small = _dense(codes)
+    bits, high = bits_of(len(found)), bits_of(len(lengths) - 1)
+    width = (64 - high) // bits
+    one = np.zeros(n + width, np.uint64)
+    within = np.ones(n, bool)
+    within[np.cumsum(lengths + 1) - 1] = False
+    one[:n][within] = small + 1
+    # width symbols in a number, from those of 1, 2, 4, ... symbols
+    key, have, power, size = np.zeros(n + width, np.uint64), 0, one, 1
     while True:
-        key = rank * (n + 2)
-        key[: n + 1 - width] += rank[width:] + 1 if width <= n else 0
-        order = np.argsort(key, kind="stable")
-        sorted_key = key[order]
-        new = np.empty(n + 1, np.int64)
-        new[order] = np.concatenate([[0], np.cumsum(sorted_key[1:] != sorted_key[:-1])])
-        if new[order[-1]] == n:
-            return order
-        rank, width = new, 2 * width
+        if width & size:
+            key <<= np.uint64(bits * size)
+            key[: n + width - have] |= power[have:]
+            have += size
+        if 2 * size > width:
+            break
+        later, power = power[size:], power << np.uint64(bits * size)
+        power[: n + width - size] |= later
+        size *= 2
+    key = key[:n] | np.repeat(np.arange(len(lengths), dtype=np.uint64), lengths + 1) << np.uint64(bits * width)
+    order = np.argsort(key)
+    starts, sizes = _runs(key[order])
+    rank = np.empty(n, np.int64)
+    rank[order] = np.repeat(starts, sizes)
+    slots = np.flatnonzero(np.repeat(sizes > 1, sizes))
+    while len(slots):
+        at = order[slots]
+        key = rank[at] * n + rank[at + width]
+        by = np.argsort(key)
+        order[slots] = at = at[by]
+        starts, sizes = _runs(key[by])
+        rank[at] = np.repeat(slots[starts], sizes)
+        slots, width = slots[np.repeat(sizes > 1, sizes)], 2 * width
+    return order
+
+
+def _runs(key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where runs of equal values start, and their lengths."""
+    starts = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
+    return starts, np.diff(starts, append=len(key))
+
+
+def _dense(codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The alphabet in order, and each symbol's number in it."""
+    if not len(codes) or codes.max() >= 1 << 16:
+        return np.unique(codes, return_inverse=True)
+    found = np.flatnonzero(np.bincount(codes))
+    number = np.zeros(1 << 16, np.int64)
+    number[found] = np.arange(len(found))
+    return found, number[codes]
+
+
+def sort_suffixes(codes: np.ndarray) -> np.ndarray:
+    """Suffix array with the empty suffix first."""
+    return sort_texts(codes, np.array([len(codes)]))
 
 
 def _codes(text: str) -> np.ndarray:
@@ -156,6 +208,61 @@ def build_index(docs: DataFrame) -> DataFrame:
     return docs.select("id", "text").mapInArrow(_index, _ROWS)
 
 
+def _packed(ids: list[int], texts: list[str]) -> pa.RecordBatch:
+    lengths = np.array([*map(len, texts)])
+    codes = _codes("".join(texts))
+    sa = sort_texts(codes, lengths)
+    which = np.repeat(np.arange(len(texts)), lengths + 1)
+    first = np.cumsum(lengths + 1) - lengths - 1
+    ends = sa == first[which]
+    last = np.flatnonzero(ends) - first
+    bw = codes[(sa - 1 - which)[~ends]]
+    found, small = _dense(bw)
+    steps, syms, starts, cuts, before = [], [], [], [], []
+    for a, n in zip((np.cumsum(lengths) - lengths).tolist(), lengths.tolist()):
+        here = small[a : a + n]
+        many = np.bincount(here, minlength=len(found))
+        own = np.flatnonzero(many)
+        step = max(BLOCK, 4 * len(own))  # a count for each fourth symbol at most, whatever the alphabet
+        blocks = n // step + 1
+        counts = np.bincount(np.arange(n) // step * len(found) + here, minlength=blocks * len(found)).reshape(blocks, len(found))[:, own]
+        steps.append(step)
+        syms.append(found[own].astype("<u4").tobytes().decode("utf-32-le"))
+        starts.append(1 + np.cumsum(many[own]) - many[own])
+        cuts.append(np.arange(a, a + n + 1, step))
+        before.append((np.cumsum(counts, 0) - counts).ravel())
+    at = np.concatenate([[0], np.cumsum(1 + (bw > 0x7F) + (bw > 0x7FF) + (bw > 0xFFFF))])
+    ends_of = lambda parts: pa.array(np.concatenate([[0], np.cumsum([*map(len, parts)])]), pa.int32())
+    strings = np.append(at[np.concatenate(cuts)], at[-1]).astype(np.int32)
+    bws = pa.StringArray.from_buffers(len(strings) - 1, pa.py_buffer(strings), pa.py_buffer(bw.tobytes().decode("utf-32-le").encode()))
+    lists = [pa.ListArray.from_arrays(ends_of(p), v) for p, v in ((starts, pa.array(np.concatenate(starts), pa.int64())), (cuts, bws), (before, pa.array(np.concatenate(before), pa.int32())))]
+    columns = [pa.array(ids, pa.int64()), pa.array(lengths, pa.int64()), pa.array(last, pa.int64()), pa.array(steps, pa.int32()), pa.array(syms, pa.string()), *lists]
+    return pa.RecordBatch.from_arrays(columns, names=["id", "n", "last", "step", "syms", "starts", "bws", "before"])
+
+
+def pack_index(docs: DataFrame) -> DataFrame:
+    """(id, n, last, step, syms, starts, bws, before), a row a text: one task sorts a text, without a shuffle.
+
+    last is the end-of-text row, which bws leave out; syms are the symbols in order and starts their first rows; before has
+    the counts of all syms before each string of bws, string after string.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ids, texts, size = [], [], 0
+            for one, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                if texts and size + len(text) > GROUP:
+                    yield _packed(ids, texts)
+                    ids, texts, size = [], [], 0
+                ids.append(one)
+                texts.append(text)
+                size += len(text) + 1
+            if texts:
+                yield _packed(ids, texts)
+
+    return docs.select("id", "text").mapInArrow(run, _PACKED)
+
+
 def build_index_any(docs: DataFrame) -> DataFrame:
     """As build_index, with texts over LOCAL_SYMBOLS sorted across executors."""
     long = docs.where(F.length("text") > LOCAL_SYMBOLS)

@@ -58,10 +58,10 @@ def _extended(symbol: Column) -> tuple[Column, Column]:
     return low, start + rank_in(F.col("_highs"), F.col("_high_before"), F.col("r"), symbol) - 1
 
 
-def search_range(index: DataFrame, docs: DataFrame | None, patterns: list[str], known: Ranks | None = None) -> DataFrame:
+def search_range(index: DataFrame | None, docs: DataFrame | None, patterns: list[str], known: Ranks | None = None) -> DataFrame:
     """(id, pattern, l, r) of the rows whose suffixes start with each pattern that occurs. The empty pattern has all rows.
 
-    The texts aren't read: ``docs`` may be None.
+    The texts aren't read: ``docs`` may be None, and the index too if its ranks are known.
     """
     known = known or ranks(index)
     # the last symbol's rows are known without a rank
@@ -78,6 +78,30 @@ def search_range(index: DataFrame, docs: DataFrame | None, patterns: list[str],
     return now.drop("starts")
 
 
+def search_packed(packed: DataFrame, patterns: list[str]) -> DataFrame:
+    """As search_range, on a packed index: the steps of all patterns are expressions over a text's row, without a join or shuffle."""
+
+    def rank(symbol: Column, row: Column) -> Column:
+        size = row + F.when(row < F.col("last"), 1).otherwise(0)  # symbols of bws up to and with the row
+        block, code = F.floor(size / F.col("step")), F.position(symbol, "syms")
+        part = F.substring(F.get("bws", block.cast("int")), F.lit(1), F.pmod(size, "step").cast("int"))
+        return F.get("before", (block * F.length("syms") + code - 1).cast("int")) + F.length(part) - F.length(F.replace(part, symbol, F.lit("")))
+
+    def step(now: Column, symbol: Column) -> Column:
+        code = F.position(symbol, "syms")
+        start = F.get("starts", code - 1)
+        ends = F.struct((start + rank(symbol, now["l"] - 1)).alias("l"), (start + rank(symbol, now["r"]) - 1).alias("r"))
+        return F.when((code == 0) | (now["l"] > now["r"]), none).otherwise(ends)
+
+    none = F.struct(F.lit(1).cast("long").alias("l"), F.lit(0).cast("long").alias("r"))
+    every = F.struct(F.lit(0).cast("long").alias("l"), F.col("n").alias("r"))
+    asked = [F.struct(F.lit(p).alias("pattern"), literals([*reversed(p)]).alias("back")) for p in patterns]
+    if not asked:
+        return packed.select("id", F.lit("").alias("pattern"), F.col("n").alias("l"), F.col("n").alias("r")).where("false")
+    found = F.transform(F.array(*asked), lambda x: F.struct(x["pattern"].alias("pattern"), F.aggregate(x["back"], every, step).alias("at")))
+    return packed.select("id", F.inline(found)).select("id", "pattern", "at.l", "at.r").where("l <= r")
+
+
 def max_match(docs: DataFrame, patterns: list[str]) -> DataFrame:
     """(id, pattern, matched): length of the longest suffix of the pattern that occurs (backward search stops there)."""
     rows = docs.select("id", "text", F.explode(literals(patterns)).alias("pattern"))

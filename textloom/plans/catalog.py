@@ -57,20 +57,29 @@ class Stored:
 
 
 _STORED: dict[tuple[str, str, str], Stored] = {}
+_PACKED: dict[tuple[str, str], tuple[DataFrame, search.Ranks | None]] = {}
+
+
+def _new_root(spark: SparkSession) -> str:
+    return f"{tables.shared_dir(spark)}/textloom-index-{uuid.uuid4().hex[:12]}"
+
+
+def _store_ranks(spark: SparkSession, root: str, docs: DataFrame) -> tuple[DataFrame, search.Ranks]:
+    tables.save_index(index.build_index_any(docs), f"{root}/index")
+    built = tables.load_index(spark, f"{root}/index")
+    known = search.ranks(built)
+    tables.save_index(known.blocks, f"{root}/blocks", order="block")
+    tables.save_index(known.heads, f"{root}/heads", order="n")
+    return built, search.Ranks(*(tables.load_index(spark, f"{root}/{x}") for x in ("blocks", "heads")))
 
 
 def stored(spark: SparkSession, sf_dir: str, name: str, docs: DataFrame) -> Stored:
     key = (spark.sparkContext.applicationId, sf_dir, name)
     if key not in _STORED:
-        root = f"{tables.shared_dir(spark)}/textloom-index-{uuid.uuid4().hex[:12]}"
-        tables.save_index(index.build_index_any(docs), f"{root}/index")
-        built = tables.load_index(spark, f"{root}/index")
-        known = search.ranks(built)
-        tables.save_index(known.blocks, f"{root}/blocks", order="block")
-        tables.save_index(known.heads, f"{root}/heads", order="n")
+        root = _new_root(spark)
+        built, known = _store_ranks(spark, root, docs)
         tables.save_index(tree.lcp_array(built, docs), f"{root}/lcp")
-        blocks, heads, lcp = (tables.load_index(spark, f"{root}/{x}") for x in ("blocks", "heads", "lcp"))
-        _STORED[key] = Stored(docs, built, search.Ranks(blocks, heads), lcp)
+        _STORED[key] = Stored(docs, built, known, tables.load_index(spark, f"{root}/lcp"))
     return _STORED[key]
 
 
@@ -78,8 +87,15 @@ def held(spark: SparkSession, sf_dir: str) -> Stored:
     return stored(spark, sf_dir, "benchmark", bench(spark, sf_dir))
 
 
-def held_corpus(spark: SparkSession, sf_dir: str) -> Stored:
-    return stored(spark, sf_dir, "documents", corpus(spark, sf_dir))
+def held_corpus(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, search.Ranks | None]:
+    """The packed index of documents, written once a session, and the ranks of those too long for a task (None if there are none)."""
+    key = (spark.sparkContext.applicationId, sf_dir)
+    if key not in _PACKED:
+        root, docs = _new_root(spark), corpus(spark, sf_dir)
+        long = docs.where(F.length("text") > index.LOCAL_SYMBOLS)
+        tables.save_packed(index.pack_index(docs.where(F.length("text") <= index.LOCAL_SYMBOLS)), f"{root}/packed")
+        _PACKED[key] = tables.load_index(spark, f"{root}/packed"), _store_ranks(spark, root, long)[1] if long.head(1) else None
+    return _PACKED[key]
 
 
 def indexed(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
@@ -444,8 +460,9 @@ SELECT id, pattern, 1 + before AS l, before + occ AS r FROM sums WHERE occ > 0""
 @query(WIN_RANGE)
 def search_range_documents(spark, sf_dir):
     """Backward search over the index of whole documents."""
-    s = held_corpus(spark, sf_dir)
-    return search.search_range(s.index, s.docs, PATTERNS, s.ranks)
+    packed, long = held_corpus(spark, sf_dir)
+    found = search.search_packed(packed, PATTERNS)
+    return found.unionByName(search.search_range(None, None, PATTERNS, long)) if long else found
 
 
 @query(WIN + " SELECT id, pattern, pos, concat(substring(text, greatest(pos - 20, 0) + 1, least(pos, 20)), substring(text, pos + 1, 21)) AS context FROM hits JOIN (SELECT doc_id, text FROM documents) d ON d.doc_id = hits.id")

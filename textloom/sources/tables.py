@@ -84,5 +84,10 @@ def save_index(index: DataFrame, path: str, buckets: int | None = None, order: s
     laid.sortWithinPartitions("id", order).write.mode("overwrite").parquet(path)
 
 
+def save_packed(packed: DataFrame, path: str) -> None:
+    """Writes a packed index where it is made: its rows are whole texts, so nothing has to be brought together."""
+    packed.write.mode("overwrite").option("compression", "zstd").parquet(path)
+
+
 def load_index(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.parquet(path)
